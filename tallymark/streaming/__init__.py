@@ -1,0 +1 @@
+"""Streaming jobs. None is in scope; see the README."""
