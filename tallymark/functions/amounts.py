@@ -10,8 +10,9 @@ The expressions are SQL text: one call from Python to the JVM each, instead of o
 
 from pyspark.sql import Column, functions as F
 
-# Every whole number up to this one, 2 ** 53, is a double.
-MAX_HUNDREDTHS = "9007199254740992D"
+# 2 ** 51, for amounts up to 22 trillion. Beyond it, a double times 100 can round to the wrong
+# whole number; beyond twice that, doubles no longer tell hundredths apart.
+MAX_HUNDREDTHS = f"{2**51}D"
 
 
 def hundredths(name: str) -> Column:

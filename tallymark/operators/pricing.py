@@ -3,6 +3,7 @@
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from tallymark.functions import exact_sum, hundredths
 
@@ -12,8 +13,10 @@ def shipped_through(lineitem: DataFrame, last: date | datetime) -> DataFrame:
 
     ``l_shipdate`` has no time zone, so ``last`` must have none. A Python datetime would reach
     Spark as a zoned timestamp and put a cast around the column; the text form keeps the
-    comparison free of the session's time zone and lets the parquet reader apply it.
+    column bare and the comparison free of the session's time zone.
     """
+    if lineitem.schema["l_shipdate"].dataType != TimestampNTZType():
+        raise ValueError("l_shipdate must be a timestamp without time zone (timestamp_ntz)")
     if isinstance(last, datetime) and last.tzinfo is not None:
         raise ValueError("l_shipdate has no time zone; pass a datetime without one")
     return lineitem.where(F.col("l_shipdate") <= F.lit(last.isoformat()).cast("timestamp_ntz"))

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from tallymark.functions import exact_sum, hundredths
 
 AMOUNT = "amount double"
-# Up to 10**12 either way. Beyond about 4 * 10**13 doubles no longer tell hundredths apart.
-CENTS = st.integers(min_value=-(10**14), max_value=10**14)
+CENTS = st.integers(min_value=-(2**51), max_value=2**51)
 
 
 def to_hundredths(spark, values):
@@ -33,8 +32,16 @@ def test_every_cent_of_a_range_converts(spark):
     assert amounts.where(hundredths("amount") != F.col("id")).count() == 0
 
 
+@pytest.mark.parametrize("power", range(40, 52))
+def test_large_amounts_convert(spark, power):
+    # An odd stride visits all residues; the last value is 2 ** power itself.
+    cents = spark.range(2**power, 2**power - 2**20, -7)
+    amounts = cents.select("id", (F.col("id") / 100).alias("amount"))
+    assert amounts.where(hundredths("amount") != F.col("id")).count() == 0
+
+
 @pytest.mark.parametrize(
-    "value", [0.125, 0.001, 1234.5678, float("nan"), float("inf"), float("-inf"), 1e300, 1e15]
+    "value", [0.125, 0.001, 1234.5678, float("nan"), float("inf"), float("-inf"), 1e300, 2.3e13]
 )
 @pytest.mark.parametrize("ansi", ["true", "false"])
 def test_other_values_fail_the_query(spark, conf, value, ansi):

@@ -143,6 +143,14 @@ def test_zoned_cutoff_is_refused(spark):
         shipped_through(lineitem, datetime(2000, 12, 1, tzinfo=UTC))
 
 
+def test_zoned_shipdate_is_refused(spark, conf):
+    # With this option off, Spark reads the column as zoned and the cutoff would shift.
+    conf("spark.sql.parquet.inferTimestampNTZ.enabled", "false")
+    lineitem = read_table(spark, str(TESTDATA / "sf0.001"), "lineitem")
+    with pytest.raises(ValueError, match="timestamp_ntz"):
+        shipped_through(lineitem, date(2000, 12, 1))
+
+
 @pytest.mark.parametrize("adaptive", ["true", "false"])
 def test_group_that_holds_nearly_all_rows(spark, conf, adaptive):
     conf("spark.sql.adaptive.enabled", adaptive)

@@ -1,11 +1,18 @@
 """The driver contract: every query runs and equals its SQL on all scale factors."""
 
+import json
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as contract
 
 from conftest import TESTDATA
 
+ROOT = Path(contract.__file__).resolve().parent
 SCALES = ("sf0.001", "sf0.01", "sf0.1")
 
 
@@ -62,3 +69,47 @@ def test_result_does_not_depend_on_session_options(spark, conf, name, option, va
     expected = sorted(map(tuple, contract.queries()[name](spark, data_dir).collect()))
     conf(option, value)
     assert sorted(map(tuple, contract.queries()[name](spark, data_dir).collect())) == expected
+
+
+def test_pandas_types_equal_those_of_the_sql(spark, duck):
+    data_dir = str(TESTDATA / "sf0.01")
+    connection = duck(data_dir)
+    for name, query in contract.queries().items():
+        expected = connection.sql(contract.oracle_sql()[name]).df()
+        assert query(spark, data_dir).toPandas().dtypes.to_dict() == expected.dtypes.to_dict()
+
+
+def run_python(*arguments, cwd, **environment):
+    done = subprocess.run(
+        [sys.executable, *arguments],
+        cwd=cwd,
+        env={**os.environ, **environment},
+        capture_output=True,
+        text=True,
+        timeout=300,
+        check=True,
+    )
+    return done.stdout.splitlines()
+
+
+def test_contract_loads_by_path_from_anywhere(tmp_path):
+    load = (
+        "from importlib.util import module_from_spec, spec_from_file_location as locate\n"
+        f"spec = locate('contract', {str(ROOT / '__spark_entry__.py')!r})\n"
+        "contract = module_from_spec(spec)\n"
+        "spec.loader.exec_module(contract)\n"
+        "print(*contract.queries())"
+    )
+    assert run_python("-c", load, cwd=tmp_path) == [" ".join(contract.queries())]
+
+
+def test_bench_prints_one_json_line(tmp_path):
+    data_dir = str(TESTDATA / "sf0.001")
+    lines = run_python(
+        str(ROOT / "bench.py"), cwd=tmp_path, BENCH_SF_DIR=data_dir, BENCH_CPUS="2"
+    )
+    (line,) = lines
+    report = json.loads(line)
+    assert report["unit"] == "sec" and report["sf"] == "0.001"
+    assert report["queries"].keys() == contract.queries().keys()
+    assert report["value"] == pytest.approx(sum(report["queries"].values()), abs=1e-3)
