@@ -129,12 +129,13 @@ def test_last_shipdate_is_included_to_the_microsecond(spark):
     assert shipped_through(lineitem, datetime(2000, 12, 1, 0, 0, 0, 1)).count() == 3
 
 
+@pytest.mark.parametrize("last", [date(2000, 12, 1), datetime(2000, 12, 1)])
 @pytest.mark.parametrize("zone", ["UTC", "America/Los_Angeles", "Pacific/Auckland"])
-def test_session_time_zone_does_not_matter(spark, conf, zone):
+def test_session_time_zone_does_not_matter(spark, conf, zone, last):
     conf("spark.sql.session.timeZone", zone)
     lineitem = read_table(spark, str(TESTDATA / "sf0.001"), "lineitem")
     expected = lineitem.where("l_shipdate <= timestamp_ntz'2000-12-01'").count()
-    assert shipped_through(lineitem, date(2000, 12, 1)).count() == expected
+    assert shipped_through(lineitem, last).count() == expected
 
 
 def test_zoned_cutoff_is_refused(spark):
