@@ -6,9 +6,12 @@ import subprocess
 import sys
 from pathlib import Path
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from tallymark.sources import read_table
 
 from conftest import TESTDATA
 
@@ -71,6 +74,31 @@ def test_result_does_not_depend_on_session_options(spark, conf, name, option, va
     assert sorted(map(tuple, contract.queries()[name](spark, data_dir).collect())) == expected
 
 
+@pytest.mark.parametrize("null_share", [0.1, 0.95])
+@pytest.mark.parametrize("hot_share", [0.4, 0.99])
+def test_pricing_summary_equals_its_sql_with_nulls_and_a_hot_group(
+    spark, tmp_path, null_share, hot_share
+):
+    lineitem = read_table(spark, str(TESTDATA / "sf0.01"), "lineitem")
+    gaps = {
+        name: F.when(F.rand(seed) >= null_share, F.col(name))
+        for seed, name in enumerate(
+            ["l_quantity", "l_extendedprice", "l_discount", "l_linestatus", "l_shipdate"]
+        )
+    }
+    hot = F.when(F.rand(9) < hot_share, "A").otherwise(F.col("l_returnflag"))
+    altered = lineitem.withColumns({**gaps, "l_returnflag": hot}).repartition(5)
+    altered.write.parquet(str(tmp_path / "lineitem.parquet"))
+
+    result = contract.queries()["pricing_summary"](spark, str(tmp_path)).collect()
+    with duckdb.connect() as connection:
+        files = str(tmp_path / "lineitem.parquet" / "*.parquet")
+        connection.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{files}'")
+        expected = connection.execute(contract.oracle_sql()["pricing_summary"]).fetchall()
+    assert len(result) == 9  # three flags, two statuses and null
+    assert sorted(map(tuple, result), key=str) == sorted(expected, key=str)
+
+
 def test_pandas_types_equal_those_of_the_sql(spark, duck):
     data_dir = str(TESTDATA / "sf0.01")
     connection = duck(data_dir)
