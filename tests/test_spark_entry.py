@@ -95,7 +95,7 @@ def test_pricing_summary_equals_its_sql_with_nulls_and_a_hot_group(
         files = str(tmp_path / "lineitem.parquet" / "*.parquet")
         connection.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{files}'")
         expected = connection.execute(contract.oracle_sql()["pricing_summary"]).fetchall()
-    assert len(result) == 9  # three flags, two statuses and null
+    assert any(row["l_linestatus"] is None for row in result)
     assert sorted(map(tuple, result), key=str) == sorted(expected, key=str)
 
 
