@@ -19,7 +19,8 @@ def to_hundredths(spark, values):
 
 def test_amounts_whose_product_with_100_is_not_whole(spark):
     # 0.29 * 100 is 28.999999999999996 and 1.15 * 100 is 114.99999999999999 in doubles.
-    assert to_hundredths(spark, [0.29, 1.15, -0.29, 0.57, 104999.91]) == [29, 115, -29, 57, 10499991]
+    amounts = [0.29, 1.15, -0.29, 0.57, 104999.91]
+    assert to_hundredths(spark, amounts) == [29, 115, -29, 57, 10499991]
 
 
 def test_zero_negative_zero_and_null(spark):
