@@ -49,9 +49,11 @@ def test_simhash(spark, docs):
     assert got == sorted(expected)
 
 
-def test_line_dedup(spark, sourced):
-    got = rows(spark, "op2_line_dedup", "doc_id", "n_lines", "n_dropped", "text")
-    assert got == sorted(line_dedup(sourced))
+def test_line_dedup(spark):
+    data = "/root/testdata/sf0.01"
+    docs = table("SELECT doc_id, source, text FROM documents", data)
+    got = rows(spark, "op2_line_dedup", "doc_id", "n_lines", "n_dropped", "text", data=data)
+    assert got == sorted(line_dedup(docs))
     assert any(row[2] for row in got)
 
 
@@ -117,7 +119,9 @@ def test_quality_rules(spark, sourced):
     assert all(row[1:6] + row[7:8] == base_counts(text) for row, (_, _, text) in zip(got, sorted(sourced)))
 
 
-def test_secret_scan(spark, docs):
+def test_secret_scan(spark):
+    data = "/root/testdata/sf0.01"
+    docs = table("SELECT doc_id, text FROM documents", data)
     kinds = ("assign", "access", "hex")
     expected = []
     for doc_id, text in docs:
@@ -125,7 +129,8 @@ def test_secret_scan(spark, docs):
         listing = ",".join(f"{kinds[rank]}:{start}:{end}" for start, rank, end in found)
         counts = [sum(rank == k for _, rank, _ in found) for k in range(3)]
         expected.append((doc_id, *counts, sha256(listing)))
-    got = rows(spark, "op7_secret_scan", "doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+    columns = ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+    got = rows(spark, "op7_secret_scan", *columns, data=data)
     assert got == sorted(expected)
     assert any(row[1] for row in got)
 
