@@ -1,5 +1,5 @@
 """Column expressions."""
 
-from tallymark.functions.amounts import exact_sum, hundredths
+from tallymark.functions.amounts import exact_sum, hundredths, large_amount, quoted, units
 
-__all__ = ["exact_sum", "hundredths"]
+__all__ = ["exact_sum", "hundredths", "large_amount", "quoted", "units"]

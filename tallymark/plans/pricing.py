@@ -22,24 +22,40 @@ def pricing_summary_query(spark: SparkSession, data_dir: str) -> DataFrame:
     )
 
 
+# Whole hundredths and HUGEINT sums: exact, and rounded half up by whole-number division. The
+# text with an exponent is read as the nearest double.
 PRICING_SUMMARY_SQL = f"""
 WITH lines AS (
     SELECT
         l_returnflag,
         l_linestatus,
-        CAST(l_quantity AS DECIMAL(15, 2)) AS quantity,
-        CAST(l_extendedprice AS DECIMAL(15, 2)) AS price,
-        CAST(l_discount AS DECIMAL(15, 2)) AS discount
+        CAST(round(l_quantity * 100) AS HUGEINT) AS quantity,
+        CAST(round(l_extendedprice * 100) AS HUGEINT) AS price,
+        CAST(round(l_discount * 100) AS HUGEINT) AS discount
     FROM lineitem
     WHERE l_shipdate <= TIMESTAMP '{LAST_SHIPDATE} 00:00:00'
+),
+totals AS (
+    SELECT
+        l_returnflag,
+        l_linestatus,
+        sum(quantity) AS quantity,
+        sum(price * (100 - discount)) AS disc_price,
+        sum(discount) AS discount,
+        count(discount) AS count_disc,
+        count(*) AS count_order
+    FROM lines
+    GROUP BY l_returnflag, l_linestatus
 )
 SELECT
     l_returnflag,
     l_linestatus,
-    CAST(sum(quantity) AS DOUBLE) AS sum_qty,
-    CAST(round(sum(price * (1 - discount)), 2) AS DOUBLE) AS sum_disc_price,
-    round(CAST(sum(discount) AS DOUBLE) / count(discount), 6) AS avg_disc,
-    count(*) AS count_order
-FROM lines
-GROUP BY l_returnflag, l_linestatus
+    CAST(CAST(quantity AS VARCHAR) || 'e-2' AS DOUBLE) AS sum_qty,
+    CAST(CAST(sign(disc_price) * ((abs(disc_price) + 50) // 100) AS VARCHAR) || 'e-2' AS DOUBLE)
+        AS sum_disc_price,
+    CAST(CAST(
+        sign(discount) * ((abs(discount) * 20000 + count_disc) // (2 * count_disc)) AS VARCHAR
+    ) || 'e-6' AS DOUBLE) AS avg_disc,
+    count_order
+FROM totals
 """

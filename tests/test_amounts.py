@@ -6,7 +6,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from tallymark.functions import exact_sum, hundredths
+from tallymark.functions import exact_sum, hundredths, large_amount, units
 
 AMOUNT = "amount double"
 CENTS = st.integers(min_value=-(2**51), max_value=2**51)
@@ -42,13 +42,79 @@ def test_large_amounts_convert(spark, power):
 
 
 @pytest.mark.parametrize(
-    "value", [0.125, 0.001, 1234.5678, float("nan"), float("inf"), float("-inf"), 1e300, 2.3e13]
+    "value", [0.125, 0.001, 1234.5678, float("nan"), float("inf"), float("-inf"), 1e300]
 )
 @pytest.mark.parametrize("ansi", ["true", "false"])
 def test_other_values_fail_the_query(spark, conf, value, ansi):
     conf("spark.sql.ansi.enabled", ansi)
+    frame = spark.createDataFrame([(1.0,), (value,)], AMOUNT)
     with pytest.raises(Exception, match="not an amount with two decimals"):
-        to_hundredths(spark, [1.0, value])
+        frame.select(hundredths("amount"), large_amount("amount")).collect()
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_amounts_beyond_the_longs_are_decimals(spark, conf, ansi):
+    conf("spark.sql.ansi.enabled", ansi)
+    values = [2.3e13, -2.3e13, 22517998136852.49, 1e20, 1.5, None]
+    frame = spark.createDataFrame([(value,) for value in values], AMOUNT)
+    got = [tuple(r) for r in frame.select(hundredths("amount"), large_amount("amount")).collect()]
+    assert got == [
+        (None, Decimal("23000000000000.00")),
+        (None, Decimal("-23000000000000.00")),
+        (None, Decimal("22517998136852.49")),
+        (None, Decimal("100000000000000000000.00")),
+        (150, None),
+        (None, None),
+    ]
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_sum_of_longs_that_would_wrap(spark, conf, ansi):
+    conf("spark.sql.ansi.enabled", ansi)
+    frame = spark.createDataFrame([(sign * 2**62,) for sign in (1, 1, 1)], "units long")
+    assert frame.agg(exact_sum("units", 2)).first()[0] == Decimal(3 * 2**62) / 100
+    frame = spark.createDataFrame([(-(2**63),), (-(2**63),), (2**63 - 1,)], "units long")
+    assert frame.agg(exact_sum("units", 0)).first()[0] == -(2**63) - 1
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_sum_of_large_amounts(spark, conf, ansi):
+    conf("spark.sql.ansi.enabled", ansi)
+    values = [(2.3e13,), (0.01,), (None,), (1e20,), (-0.02,)]
+    frame = spark.createDataFrame(values, AMOUNT)
+    frame = frame.select(units("amount").alias("u"), large_amount("amount").alias("l"))
+    assert frame.agg(exact_sum("u", 2, "l")).first()[0] == Decimal("100000023000000000000") - Decimal("0.01")
+    only = frame.where("u IS NULL")
+    assert only.agg(exact_sum("u", 2, "l")).first()[0] == Decimal("100000023000000000000")
+    assert only.where("l IS NULL").agg(exact_sum("u", 2, "l")).first()[0] is None
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_a_total_of_too_many_digits_fails(spark, conf, ansi):
+    conf("spark.sql.ansi.enabled", ansi)
+    frame = spark.createDataFrame([(9e35,), (9e35,)], AMOUNT)
+    frame = frame.select(units("amount").alias("u"), large_amount("amount").alias("l"))
+    with pytest.raises(Exception, match="more than 38 digits"):
+        frame.agg(exact_sum("u", 2, "l")).collect()
+
+
+@pytest.mark.parametrize("name", ["it's", "back`tick", "a.b", "a b", "back\\slash"])
+def test_any_column_name_works(spark, name):
+    frame = spark.createDataFrame([(1.25,), (2.3e13,)], AMOUNT).toDF(name)
+    frame = frame.select(units(name).alias(name), large_amount(name).alias("l"))
+    assert frame.agg(exact_sum(name, 2, "l")).first()[0] == Decimal("23000000000001.25")
+    wrong = spark.createDataFrame([(0.001,)], AMOUNT).toDF(name)
+    with pytest.raises(Exception, match="not an amount with two decimals"):
+        wrong.select(units(name)).collect()
+
+
+def test_four_decimals(spark):
+    frame = spark.createDataFrame([(1.2345,), (-0.0001,), (7.0,)], AMOUNT)
+    assert [row[0] for row in frame.select(units("amount", 4)).collect()] == [12345, -1, 70000]
+    total = frame.select(units("amount", 4).alias("u")).agg(exact_sum("u", 4)).first()[0]
+    assert total == Decimal("8.2344")
+    with pytest.raises(Exception, match="not an amount with four decimals"):
+        spark.createDataFrame([(1.00001,)], AMOUNT).select(units("amount", 4)).collect()
 
 
 @settings(
