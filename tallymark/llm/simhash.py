@@ -48,9 +48,10 @@ def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """Return ``doc_id`` and ``print``, the fingerprint as a signed long, for every row.
+    """Return ``doc_id``, ``content`` and ``print`` for every row.
 
-    Null and empty texts have the fingerprint 0.
+    ``content`` is a hash of the text, and ``print`` the fingerprint as a signed long. Null and
+    empty texts have the fingerprint 0.
     """
 
     def printed(batches):
@@ -58,11 +59,16 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFra
             prints = [fingerprint(text, shingle_words) for text in encoded(batch, "text")]
             column = pa.array(np.array(prints, dtype=np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), column], names=["doc_id", "print"]
+                [batch.column("doc_id"), batch.column("content"), column],
+                names=["doc_id", "content", "print"],
             )
 
-    chosen = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text")
-    return chosen.mapInArrow(printed, "doc_id long, print long")
+    chosen = docs.selectExpr(
+        "CAST(doc_id AS BIGINT) AS doc_id",
+        "CAST(text AS STRING) AS text",
+        "xxhash64(text) AS content",
+    )
+    return chosen.mapInArrow(printed, "doc_id long, content long, print long")
 
 
 def shard_masks(n_prints: int, radius: int) -> list[int]:
@@ -150,9 +156,9 @@ def near_links(prints: DataFrame, radius: int = RADIUS, slice_prints: int = SLIC
 def near_duplicates(
     docs: DataFrame, radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS
 ) -> DataFrame:
-    """Return ``doc_id``, ``print`` and ``component_id`` for every row of ``docs``.
+    """Return ``doc_id``, ``content``, ``print`` and ``component_id`` for every row of ``docs``.
 
-    Rows whose fingerprints differ in at most ``radius`` bits are linked; ``component_id`` is
+    ``content`` is the hash of the text, to find the row again where a ``doc_id`` repeats. Rows whose fingerprints differ in at most ``radius`` bits are linked; ``component_id`` is
     the least ``doc_id`` that links reach, also over several steps. Copies share a fingerprint
     and are one node of the graph, however many they are. No link between fingerprints is lost.
 
@@ -169,4 +175,5 @@ def near_duplicates(
     nodes = nodes.select("print", "least_id", F.coalesce("root", "print").alias("root"))
     least = nodes.groupBy("root").agg(F.min("least_id").alias("component_id"))
     classes = stored(nodes.join(least, "root").select("print", "component_id"), "print-classes")
-    return docs_prints.join(classes, "print").select("doc_id", "print", "component_id")
+    joined = docs_prints.join(classes, "print")
+    return joined.select("doc_id", "content", "print", "component_id")

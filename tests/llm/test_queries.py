@@ -17,6 +17,7 @@ from brute import (
 )
 
 from tallymark.llm.queries import CONTROL_TEXT, QUERIES
+from tallymark.llm.sql import ORACLE_SQL
 
 DATA = "/root/testdata/sf0.001"
 
@@ -195,3 +196,15 @@ def test_quality_gam(spark):
     assert wins / (len(good) * len(bad)) > 0.95
     right = sum((score >= 0.7) == bool(quality) for score, quality in marks)
     assert right / len(marks) > 0.93
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_equals_its_sql(spark, name):
+    data = "/root/testdata/sf0.01"
+    with duckdb.connect() as connection:
+        for one in ("documents", "benchmark", "labels", "conversations"):
+            connection.execute(f"CREATE VIEW {one} AS SELECT * FROM '{data}/{one}.parquet'")
+        expected = connection.execute(ORACLE_SQL[name]).df()
+    got = QUERIES[name](spark, data).toPandas()[list(expected.columns)]
+    assert got.dtypes.to_dict() == expected.dtypes.to_dict()
+    assert sorted(got.itertuples(index=False)) == sorted(expected.itertuples(index=False))
