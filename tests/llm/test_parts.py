@@ -1,0 +1,252 @@
+"""The parts of the operators, against plain versions."""
+
+import random
+import struct
+
+import numpy as np
+import pytest
+from brute import components, simhash
+from hypothesis import HealthCheck, given, settings, strategies as st
+from tokenizers import Tokenizer
+
+from tallymark.llm import simhash as simhash_module
+from tallymark.llm.bk_tree import build, least_labels, links
+from tallymark.llm.components import components as star_components
+from tallymark.llm.decontamination import merged
+from tallymark.llm.fm_index import FMIndex, suffix_array
+from tallymark.llm.packing import OpenBins
+from tallymark.llm.quality_gam import FEATURES, features_of, fit
+from tallymark.llm.quality_rules import repeat_words
+from tallymark.llm.records import frame, unframe
+from tallymark.llm.simhash import fingerprint, near_links, shard_masks
+from tallymark.llm.substring_dedup import COVERS, WindowHashes, anchor_places, cover_of, word_hashes
+from tallymark.llm.tokenizer_files import tokenizer_path
+from tallymark.llm.tokens import PieceEncoder
+
+QUIET = settings(
+    max_examples=60, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+)
+
+
+def clustered(seed, size):
+    """Return distinct 64-bit numbers, many within a few bits of each other."""
+    rng = random.Random(seed)
+    centres = [rng.getrandbits(64) for _ in range(max(1, size // 20))]
+    out = set()
+    while len(out) < size:
+        one = rng.choice(centres)
+        for _ in range(rng.randint(0, 7)):
+            one ^= 1 << rng.randrange(64)
+        out.add(one)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("size", [1, 2, 30, 400])
+@pytest.mark.parametrize("radius", [0, 1, 4, 9])
+def test_tree_joins_what_is_near(size, radius):
+    prints = np.array(clustered(size, size), dtype=np.uint64)
+    group = np.sort(np.arange(size) % 3)
+    left, right = links(build(group, prints), np.arange(size), radius)
+    assert all(np.bitwise_count(prints[left] ^ prints[right]) <= radius)
+    assert (group[left] == group[right]).all()
+    label = least_labels(size, left, right)
+    for one in range(3):
+        roots = components([int(p) for p in prints[group == one]], radius)
+        mine = {int(p): int(prints[label[k]]) for k, p in enumerate(prints) if group[k] == one}
+        assert mine == roots
+
+
+def test_dense_ball_costs_few_pairs():
+    rng = random.Random(1)
+    prints = np.array(sorted({rng.getrandbits(3) << rng.randrange(62) for _ in range(900)}), np.uint64)
+    left, _ = links(build(np.zeros(len(prints), int), prints), np.arange(len(prints)), 6)
+    assert len(left) < 40 * len(prints)
+
+
+@pytest.mark.parametrize("n_prints", [10, 10**7, 10**10, 10**13])
+def test_masks_keep_near_prints_together(n_prints):
+    rng = random.Random(n_prints)
+    masks = shard_masks(n_prints, 4)
+    for _ in range(300):
+        flips = sum(1 << bit for bit in rng.sample(range(64), 4))
+        assert any(mask & flips == 0 for mask in masks)
+
+
+@pytest.mark.parametrize("slice_prints", [50_000, 5])
+@pytest.mark.parametrize("shard_prints", [512, 1])
+def test_links_over_shards_and_slices(spark, monkeypatch, slice_prints, shard_prints):
+    monkeypatch.setattr(simhash_module, "SHARD_PRINTS", shard_prints)
+    values = clustered(5, 300)
+    signed = [(v - (1 << 64) if v >> 63 else v,) for v in values]
+    edges = near_links(spark.createDataFrame(signed, "print long"), 4, slice_prints)
+    roots = {row[0] % 2**64: row[1] % 2**64 for row in star_components(edges).collect()}
+    classes = {}
+    for value in values:
+        classes.setdefault(roots.get(value, value), set()).add(value)
+    expected = {}
+    for value, root in components(values, 4).items():
+        expected.setdefault(root, set()).add(value)
+    assert sorted(map(sorted, classes.values())) == sorted(map(sorted, expected.values()))
+
+
+def test_components_of_a_path_and_a_hub(spark):
+    edges = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(1000, 1100)] + [(5, 5)]
+    random.Random(2).shuffle(edges)
+    got = star_components(spark.createDataFrame(edges, "a long, b long"))
+    expected = {k: 100 for k in range(101, 161)} | {k: 7 for k in range(1000, 1100)}
+    assert {row["node"]: row["root"] for row in got.collect()} == expected
+
+
+@QUIET
+@given(st.text(alphabet="aB \t\né.", max_size=60))
+def test_fingerprint(text):
+    assert fingerprint(text.encode()) == simhash(text)
+
+
+@QUIET
+@given(
+    st.lists(st.lists(st.integers(1, 4), max_size=12), min_size=1, max_size=6),
+    st.integers(1, 20),
+)
+def test_fm_index_finds_every_occurrence(runs, step):
+    text = np.array([symbol for run in runs for symbol in [*run, 0]])
+    order = suffix_array(text).tolist()
+    assert sorted(order) == list(range(len(text)))
+    patterns = sorted({tuple(run[a:b]) for run in runs for a in range(len(run)) for b in range(a + 1, len(run) + 1)} | {(1, 1, 1), (4,)})
+    size = max(map(len, patterns))
+    table = np.zeros((len(patterns), size), dtype=np.int64)
+    for at, pattern in enumerate(patterns):
+        table[at, : len(pattern)] = pattern
+    index = FMIndex(text, 4, step)
+    which, place = index.locate(*index.search(table, np.array(list(map(len, patterns)))))
+    got = sorted(zip(which.tolist(), place.tolist(), strict=True))
+    expected = [
+        (at, begin)
+        for at, pattern in enumerate(patterns)
+        for begin in range(len(text))
+        if tuple(text[begin : begin + len(pattern)].tolist()) == pattern
+    ]
+    assert got == sorted(expected)
+
+
+def test_merged_spans():
+    spans = merged(np.array([8, 0, 2, 5, 20]), np.array([9, 3, 5, 6, 21]))
+    assert [(s["start"], s["end"]) for s in spans] == [(0, 6), (8, 9), (20, 21)]
+
+
+@pytest.mark.parametrize("period", COVERS)
+def test_covers_reach_every_difference(period):
+    cover = COVERS[period]
+    assert {(a - b) % period for a in cover for b in cover} == set(range(period))
+
+
+@pytest.mark.parametrize("window", [50, 12, 5, 70])
+def test_equal_windows_share_an_aligned_anchor(window):
+    period, _ = cover_of(window)
+    size = window - period + 1
+    for left in range(period):
+        for right in range(period):
+            offsets = [
+                {place - begin for place in anchor_places(begin + window, window) if place >= begin}
+                for begin in (left, right)
+            ]
+            assert any(offset + size <= window for offset in offsets[0] & offsets[1])
+
+
+def test_window_hashes_depend_on_the_words_alone():
+    words = [str(random.Random(3).randrange(5)).encode() for _ in range(10)] + [b"a", b"b", b"a"] * 40
+    hashes = WindowHashes(word_hashes(words)).at(np.arange(len(words) - 4), 5)
+    seen = {}
+    for at, digest in enumerate(hashes.tolist()):
+        assert seen.setdefault(tuple(words[at : at + 5]), digest) == digest
+    assert len(set(seen.values())) == len(seen)
+
+
+@QUIET
+@given(st.lists(st.integers(1, 50), max_size=200), st.integers(1, 9))
+def test_bins_are_gapless_and_bounded(lengths, most):
+    bins, used = OpenBins(50, most), {}
+    for length in lengths:
+        chosen, offset = bins.place(length)
+        assert used.get(chosen, 0) == offset
+        used[chosen] = offset + length
+        assert used[chosen] <= 50 and bins.open <= most
+
+
+def test_best_fit_takes_the_fullest_bin_and_closes_it_first():
+    bins = OpenBins(10, 2)
+    assert [bins.place(n) for n in (6, 7)] == [(0, 0), (1, 0)]
+    assert bins.place(3) == (1, 7)
+    assert [bins.place(n) for n in (8, 9)] == [(2, 0), (3, 0)]
+    # Bin 2, with two free, was the fullest when bin 3 was opened.
+    assert bins.place(2) == (0, 6)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_give_the_ids_of_whole_texts(name, monkeypatch):
+    path = tokenizer_path(name)
+    plain, cached = Tokenizer.from_file(path), PieceEncoder(path)
+    monkeypatch.setattr("tallymark.llm.tokens._CACHED_PIECES", 50)
+    parts = (
+        "a don't ÄÖü é é ß ΑΣ. ÅΣ'S İ 123 4.5 ... , . \n \n\n  \t\xa0 ​ \x1c \x85   <|endoftext|> "
+        "<|startoftext|> 中文 \U0001f600 word, Word. END x" + "y" * 70
+    ).split(" ")
+    rng = random.Random(4)
+    texts = [
+        "".join(rng.choice(parts) + rng.choice(["", " ", "  ", "\n", " \n ", "."]) for _ in range(k))
+        for k in [*range(12)] * 40
+    ]
+    got = cached.encode(texts)
+    want = plain.encode_batch(texts, add_special_tokens=False)
+    for text, ids, one in zip(texts, got, want, strict=True):
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == one.ids, repr(text)
+
+
+@QUIET
+@given(st.text(max_size=40))
+def test_pieces_of_any_text(text):
+    for coder, plain in CODERS:
+        ids = coder.encode([text])[0]
+        one = plain.encode(text, add_special_tokens=False).ids
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == one
+
+
+CODERS = [
+    (PieceEncoder(tokenizer_path(name)), Tokenizer.from_file(tokenizer_path(name)))
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json")
+]
+
+
+@pytest.mark.parametrize("width", [2, 4])
+@pytest.mark.parametrize("doc_id", [None, 0, -5, 2**62])
+def test_records_round_trip_and_notice_damage(width, doc_id):
+    ids = np.array([0, 1, 65535], dtype="<u4").tobytes()
+    record = frame(doc_id, ids, width)
+    assert unframe(record) == (doc_id, ids)
+    for at in range(len(record)):
+        damaged = record[:at] + bytes([record[at] ^ 1]) + record[at + 1 :]
+        with pytest.raises((ValueError, struct.error)):
+            unframe(damaged)
+
+
+@QUIET
+@given(st.lists(st.sampled_from([b"a", b"b"]), max_size=40))
+def test_repeat_words(words):
+    windows = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+    hit = {k + j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(5)}
+    assert repeat_words(words) == len(hit)
+
+
+def test_model_learns_a_pair_that_no_feature_shows_alone():
+    rng = np.random.default_rng(0)
+    columns = [rng.random(4000) for _ in range(4)]
+    labels = ((columns[0] > 0.5) ^ (columns[1] > 0.5)).astype(float)
+    scores = fit(columns, labels).score(columns)
+    assert ((scores > 0.5) == labels).mean() > 0.95
+
+
+@QUIET
+@given(st.text(max_size=200))
+def test_features_are_finite(text):
+    values = features_of(text)
+    assert len(values) == len(FEATURES) and np.isfinite(values).all()
