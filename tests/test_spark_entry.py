@@ -2,6 +2,7 @@
 
 import json
 import os
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -151,3 +152,18 @@ def test_bench_prints_one_json_line(tmp_path):
     assert report["unit"] == "sec" and report["sf"] == "0.001"
     assert report["queries"].keys() == set(OWN)
     assert report["value"] == pytest.approx(sum(report["queries"].values()), abs=1e-3)
+
+
+def test_contract_stands_without_the_subpackage(tmp_path):
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    skipped = shutil.ignore_patterns("llm", "__pycache__")
+    shutil.copytree(ROOT / "tallymark", tmp_path / "tallymark", ignore=skipped)
+    load = "import __spark_entry__ as contract; print(*contract.queries(), *contract.oracle_sql())"
+    (line,) = run_python("-c", load, cwd=tmp_path, PYTHONPATH=str(tmp_path))
+    assert line == "pricing_summary pricing_summary"
+
+
+def test_nothing_else_imports_the_subpackage():
+    files = [*(ROOT / "tallymark").rglob("*.py"), ROOT / "bench.py", ROOT / "scale_pricing.py"]
+    own = [file for file in files if "llm" not in file.parts]
+    assert own and not any("tallymark.llm" in file.read_text() for file in own)
