@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tallymark.functions import quoted
+
 _FALLBACK = []
 
 
@@ -57,6 +59,21 @@ def all_of(*conditions: Column) -> Column:
     return reduce(lambda left, right: left & right, conditions)
 
 
+def others(frame: DataFrame, added: tuple[str, ...]) -> list[Column]:
+    """Return the columns of ``frame`` but for those whose names are added, in any case."""
+    return [F.col(quoted(name)) for name in frame.columns if name.lower() not in added]
+
+
+def plain_names(frame: DataFrame) -> list[str]:
+    """Return names for the columns of ``frame`` that Python functions can be given.
+
+    All but ``text`` are numbered, for those functions take no name with a dot or a backtick.
+    """
+    return [
+        "text" if name.lower() == "text" else f"_{at}" for at, name in enumerate(frame.columns)
+    ]
+
+
 def encoded(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """Return a text column as UTF-8, with nulls as empty texts."""
     column = batch.column(name)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from tallymark.llm.common import encoded, runs_of, stored
+from tallymark.llm.common import encoded, others, plain_names, runs_of, stored
 from tallymark.llm.fm_index import FMIndex
 
 WINDOW_WORDS = 10
@@ -18,6 +18,7 @@ SHARD_WORDS = 500_000
 BLOCK_CHARS = 1_000_000
 PASS_BLOCKS = 32
 _CHUNK_WINDOWS = 1_000
+_SPANS = "array<struct<start: long, end: long>>"
 
 # Words are runs of anything but these ASCII characters, after lower-casing A-Z.
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -26,10 +27,6 @@ _BYTES = bytes(
     _LOWER.get(code, code) if re.match(r"[0-9A-Za-z]", chr(code)) or code > 127 else 32
     for code in range(256)
 )
-_RESULT = (
-    "n_words long, hits array<struct<start: long, end: long>>, "
-    "spans array<struct<start: long, end: long>>, items array<string>"
-)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -222,11 +219,12 @@ def find_contamination(
     """
     spark = docs.sparkSession
     chunks, count = _blocks(benchmark, window, block_chars)
-    own = [name for name in docs.columns if name not in ("n_words", "hits", "spans", "items")]
-    state = docs.select(
-        *own,
+    added = ("n_words", "hits", "spans", "items")
+    own = docs.select(*others(docs, added))
+    state = own.toDF(*plain_names(own)).select(
+        "*",
         F.lit(0).cast("long").alias("n_words"),
-        *(F.array().cast("array<struct<start: long, end: long>>").alias(n) for n in ("hits", "spans")),
+        *(F.array().cast(_SPANS).alias(name) for name in ("hits", "spans")),
         F.array().cast("array<string>").alias("items"),
     )
     for first in range(0, count, PASS_BLOCKS):
@@ -237,7 +235,7 @@ def find_contamination(
         state = _pass(state, spark.sparkContext.broadcast(blocks), window, shard_words)
         if first + PASS_BLOCKS < count:
             state = stored(state, "contamination")
-    return state
+    return state.toDF(*own.columns, *added)
 
 
 def _pass(state: DataFrame, blocks, window: int, shard_words: int) -> DataFrame:

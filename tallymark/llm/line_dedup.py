@@ -2,7 +2,8 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallymark.llm.common import stored
+from tallymark.functions import quoted
+from tallymark.llm.common import others, stored
 
 MAX_RATIO = 0.1
 MIN_PAGES = 5
@@ -63,23 +64,24 @@ def drop_boilerplate(
     line. A null host is a host of its own. Repeated rows count as pages of their own. An empty
     table gives no rows.
     """
-    own = [name for name in docs.columns if name not in ("n_lines", "n_dropped")]
+    own = others(docs, ("n_lines", "n_dropped"))
     found = stored(boilerplate(docs, host, max_ratio, min_pages), "boilerplate")
-    found = found.toDF("boilerplate_host", "boilerplate_lines")
+    found = found.toDF("_boilerplate_host", "_boilerplate_lines")
     joined = docs.select(*own).join(
-        found, F.col(host).eqNullSafe(F.col("boilerplate_host")), "left"
+        found, F.col(host).eqNullSafe(F.col("_boilerplate_host")), "left"
     )
-    has_any = F.col("boilerplate_lines").isNotNull() & F.col("text").isNotNull()
+    has_any = F.col("_boilerplate_lines").isNotNull() & F.col("text").isNotNull()
     kept = F.filter(
         _lines(),
-        lambda line: ~F.array_contains(F.col("boilerplate_lines"), _hashed(_key(line))),
+        lambda line: ~F.array_contains(F.col("_boilerplate_lines"), _hashed(_key(line))),
     )
-    cut = joined.withColumn("kept_lines", F.when(has_any, kept))
+    cut = joined.withColumn("_kept_lines", F.when(has_any, kept))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines())).cast("long")
-    n_dropped = F.coalesce(F.size(_lines()) - F.size("kept_lines"), F.lit(0)).cast("long")
+    n_dropped = F.coalesce(F.size(_lines()) - F.size("_kept_lines"), F.lit(0)).cast("long")
     n_dropped = F.when(has_any, n_dropped).otherwise(F.lit(0).cast("long"))
     cut = cut.withColumns({"n_lines": n_lines, "n_dropped": n_dropped})
-    shorter = F.when(F.col("n_dropped") > 0, F.array_join("kept_lines", "\n"))
+    shorter = F.when(F.col("n_dropped") > 0, F.array_join("_kept_lines", "\n"))
     shorter = F.coalesce(shorter, F.col("text")).alias("text")
-    columns = [shorter if name == "text" else F.col(name) for name in own]
+    names = docs.select(*own).columns
+    columns = [shorter if name == "text" else F.col(quoted(name)) for name in names]
     return cut.select(*columns, "n_lines", "n_dropped")

@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from tallymark.llm.common import encoded, stored
+from tallymark.llm.common import encoded, others, plain_names, stored
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -135,21 +135,22 @@ def apply_rules(
     each get their own verdict, the same one. An empty table gives no rows.
     """
     added = [field.split()[0] for field in _RESULT.split(", ")]
-    own = [name for name in docs.columns if name not in added]
+    own = others(docs, tuple(added))
     found = stored(shared_lines(docs, host, max_share, min_docs), "shared-lines")
-    found = found.toDF("shared_host", "shared_lines")
+    found = found.toDF("_shared_host", "_shared_lines")
     joined = docs.select(*own).join(
-        found, F.col(host).cast("string").eqNullSafe(F.col("shared_host")), "left"
+        found, F.col(host).cast("string").eqNullSafe(F.col("_shared_host")), "left"
     )
-    state = joined.select(*own, "shared_lines")
-    schema = StructType([f for f in state.schema.fields if f.name != "shared_lines"])
+    names = docs.select(*own)
+    state = joined.select(*own, "_shared_lines").toDF(*plain_names(names), "_shared_lines")
+    schema = StructType([f for f in state.schema.fields if f.name != "_shared_lines"])
     for field in StructType.fromDDL(_RESULT).fields:
         schema = schema.add(field)
 
     def judged(batches):
         for batch in batches:
             results = []
-            shared = batch.column("shared_lines").to_pylist()
+            shared = batch.column("_shared_lines").to_pylist()
             for text, lines in zip(encoded(batch, "text"), shared, strict=True):
                 result = base_counts(text)
                 lines = set(lines or ())
@@ -162,7 +163,7 @@ def apply_rules(
             columns = [
                 batch.column(at)
                 for at, name in enumerate(batch.schema.names)
-                if name != "shared_lines"
+                if name != "_shared_lines"
             ]
             kinds = {"base_failed": pa.bool_(), "kept": pa.bool_()}
             columns += [
@@ -171,4 +172,4 @@ def apply_rules(
             ]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return state.mapInArrow(judged, schema)
+    return state.mapInArrow(judged, schema).toDF(*names.columns, *added)

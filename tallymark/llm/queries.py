@@ -75,8 +75,11 @@ def op3_decontamination(spark, data_dir):
 def op4_chat_format(spark, data_dir):
     """Return what the formatted examples of each conversation hold, read back from them."""
     said = read_table(spark, data_dir, "conversations").select("conv_id", "turn", "role", "text")
-    control = spark.createDataFrame(
-        [(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], said.schema
+    control = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(CONTROL_TEXT).alias("text"),
     )
     return read_back(prefix_target_examples(said.unionByName(control)))
 

@@ -31,8 +31,9 @@ from tallymark.llm.tokenizer_files import tokenizer_path
 
 # Columns whose names the operators use for their own, and one with a blank in its name.
 CLASHING = (
-    "n_words long, kept boolean, spans string, items string, host string, count long, shard long, "
-    "print long, content long, words string, n_lines long, line string, places string, `a b` int"
+    "N_Words long, kept boolean, Spans string, items string, host string, count long, "
+    "shard long, print long, content long, words string, n_lines long, line string, "
+    "places string, shared_lines string, boilerplate_host string, `a b` int"
 )
 DOCS = f"doc_id long, text string, lang string, source string, n_chars long, {CLASHING}"
 WORDS = "alpha beta gamma delta eps zeta eta theta iota kappa la mu nu xi".split()
@@ -76,7 +77,7 @@ def documents(spark, texts):
     frame = spark.createDataFrame(rows, ", ".join(DOCS.split(", ")[:5]))
     extra = {f.split()[0].strip("`"): f.split()[-1] for f in CLASHING.split(", ") if "`" not in f}
     frame = frame.withColumns({name: F.lit(None).cast(kind) for name, kind in extra.items()})
-    return frame.withColumn("a b", F.lit(1)).repartition(3)
+    return frame.withColumns({"a b": F.lit(1), "a.b`c": F.lit(2)}).repartition(3)
 
 
 def sets(frame, *columns):
