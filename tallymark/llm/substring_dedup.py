@@ -228,7 +228,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     ids = stored(
         named.select(*key, F.xxhash64(F.lit("text"), "text").alias("check")), "contents"
     )
+    # What a join meets is stored first, here and below: between two plain shuffles Spark splits
+    # a key that very many rows share, which it cannot do after an aggregation.
     least = ids.groupBy("content", "check").agg(F.min("doc_id").alias("least"))
+    least = stored(least, "first-contents")
     ranked = ids.join(least, ["content", "check"])
     first = ranked.where("doc_id = least").select(*key).distinct()
     copies = ranked.where("doc_id > least").select(*key).distinct()
@@ -236,14 +239,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     # Equal texts have one content, so groups of copies share no anchor among themselves.
     anchors = _anchors(named, window)
     shared = anchors.groupBy("anchor").agg(F.min("content").alias("lo"), F.max("content").alias("hi"))
-    shared = shared.where("lo <> hi").select("anchor")
+    shared = stored(shared.where("lo <> hi").select("anchor"), "anchors-of-several")
     at = anchors.join(shared, "anchor", "left_semi").groupBy(*key)
     at = at.agg(F.collect_set("place").alias("places")).join(first, key, "left_semi")
     at = stored(at, "shared-anchors")
 
     windows = stored(_windows(_packed(named).join(at, key), window), "windows")
     low = windows.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    low = low.where("lo < hi").select("a", "b", "lo")
+    low = stored(low.where("lo < hi").select("a", "b", "lo"), "windows-of-several")
     again = windows.join(low, ["a", "b"]).where("doc_id > lo").groupBy(*key)
     again = again.agg(F.collect_set("place").alias("places"), F.lit(False).alias("is_copy"))
     none = F.lit(None).cast("array<int>").alias("places")
