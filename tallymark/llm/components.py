@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         before = mark
         both = stars.union(stars.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
-        least = least.select("u", F.least("u", "m").alias("m"))
+        # Stored, so that the join can split the edges of a node that has very many.
+        least = stored(least.select("u", F.least("u", "m").alias("m")), "component-least")
         hung = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m"))
         large = hung.where("u <> m").distinct()
         least = large.groupBy("u").agg(F.min("m").alias("low"))

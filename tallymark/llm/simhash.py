@@ -158,9 +158,10 @@ def near_duplicates(
 ) -> DataFrame:
     """Return ``doc_id``, ``content``, ``print`` and ``component_id`` for every row of ``docs``.
 
-    ``content`` is the hash of the text, to find the row again where a ``doc_id`` repeats. Rows whose fingerprints differ in at most ``radius`` bits are linked; ``component_id`` is
-    the least ``doc_id`` that links reach, also over several steps. Copies share a fingerprint
-    and are one node of the graph, however many they are. No link between fingerprints is lost.
+    ``content`` is the hash of the text, to find the row again where a ``doc_id`` repeats. Rows
+    whose fingerprints differ in at most ``radius`` bits are linked; ``component_id`` is the
+    least ``doc_id`` that links reach, also over several steps. Copies share a fingerprint and
+    are one node of the graph, however many they are. No link between fingerprints is lost.
 
     Texts without words, null ones too, have the fingerprint 0 and are linked like any others.
     A row with a null ``doc_id`` is linked too; its group's id is the least that is not null,
@@ -174,6 +175,7 @@ def near_duplicates(
     nodes = prints.join(roots, prints["print"] == roots["node"], "left")
     nodes = nodes.select("print", "least_id", F.coalesce("root", "print").alias("root"))
     least = nodes.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    least = stored(least, "component-ids")
     classes = stored(nodes.join(least, "root").select("print", "component_id"), "print-classes")
     joined = docs_prints.join(classes, "print")
     return joined.select("doc_id", "content", "print", "component_id")
