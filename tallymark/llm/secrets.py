@@ -109,7 +109,10 @@ def scan_versions(
         F.col(path).alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     ).withColumn("blob", F.sha2("text", 256))
     named = stored(texts.select("path", "blob"), "blob-versions")
-    spark.createDataFrame([], LEDGER_SCHEMA).write.mode("append").parquet(ledger_path)
+    nothing = named.where("false").select(
+        "blob", F.lit(rule_version).alias("rule_version"), F.array().cast(_SPAN).alias("spans")
+    )
+    nothing.write.mode("append").parquet(ledger_path)
     seen = read_ledger(spark, ledger_path).where(F.col("rule_version") == rule_version)
     chosen = (
         named.groupBy("blob")
@@ -126,7 +129,8 @@ def scan_versions(
     entries = found.select("blob", F.lit(rule_version).alias("rule_version"), "spans")
     entries.write.mode("append").parquet(ledger_path)
     known = read_ledger(spark, ledger_path).where(F.col("rule_version") == rule_version)
-    known = known.where(F.size("spans") > 0).dropDuplicates(["blob"])
+    # Stored, so that the join can split the paths of a content that very many share.
+    known = stored(known.where(F.size("spans") > 0).dropDuplicates(["blob"]), "findings")
     joined = named.join(known, "blob", "left")
     spans = F.coalesce("spans", F.array().cast(_SPAN))
     return joined.select("path", "blob", spans.alias("spans"))
