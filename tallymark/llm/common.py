@@ -1,5 +1,6 @@
 """What the operators share: columns, words, the shared folder and tables written there."""
 
+import re
 import tempfile
 from functools import reduce
 from pathlib import Path
@@ -26,14 +27,16 @@ def on_workers(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """Return the folder that all executors share, ``spark.checkpoint.dir``.
 
-    Where the session names none, as in a test on one machine, a temporary folder stands in.
+    Where the session names none, as in a test on one machine, a temporary folder stands in;
+    on a cluster that would not be shared, so there it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _FALLBACK:
             _FALLBACK.append(Path(tempfile.mkdtemp(prefix="tallymark-")).as_uri())
         folder = _FALLBACK[0]
-        spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
