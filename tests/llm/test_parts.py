@@ -189,7 +189,7 @@ def test_pieces_give_the_ids_of_whole_texts(name, monkeypatch):
     monkeypatch.setattr("tallymark.llm.tokens._CACHED_PIECES", 50)
     parts = (
         "a don't ÄÖü é é ß ΑΣ. ÅΣ'S İ 123 4.5 ... , . \n \n\n  \t\xa0 ​ \x1c \x85   <|endoftext|> "
-        "<|startoftext|> 中文 \U0001f600 word, Word. END x" + "y" * 70
+        "<|startoftext|> <|EndOfText|> µ 中文 \U0001f600 word, Word. END x" + "y" * 70
     ).split(" ")
     rng = random.Random(4)
     texts = [
