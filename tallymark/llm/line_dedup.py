@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallymark.functions import quoted
 from tallymark.llm.common import others, stored
+from tallymark.llm.near_copies import with_class
 
 MAX_RATIO = 0.1
 MIN_PAGES = 5
@@ -25,21 +26,34 @@ def _hashed(key: Column) -> Column:
 
 
 def boilerplate(
-    docs: DataFrame, host: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES
+    docs: DataFrame,
+    host: str,
+    max_ratio: float = MAX_RATIO,
+    min_pages: int = MIN_PAGES,
+    copies: DataFrame | None = None,
 ) -> DataFrame:
     """Return ``host`` and ``lines``, the hashes of each host's boilerplate lines.
 
     A line is boilerplate on a host if it is on more than ``max_ratio`` of the host's pages and
     on at least ``min_pages`` of them. A page counts once for a line that it repeats. A host has
     at most as many such lines as its pages have on average, over ``max_ratio``.
+
+    Pages are rows. With ``copies``, the result of ``near_copies``, all rows of a host that are
+    copies or near copies of each other are one page, for a line and for the host.
     """
     keys = F.filter(F.transform(_lines(), _key), lambda key: key != "")
-    pages = docs.select(F.col(host).alias("host"), F.array_distinct(keys).alias("keys"))
+    one = [] if copies is None else ["_page"]
+    docs = docs if copies is None else with_class(docs, copies, "_page")
+    pages = docs.select(F.col(host).alias("host"), *one, F.array_distinct(keys).alias("keys"))
     hashes = F.transform("keys", _hashed)
     # Hosts and lines are counted in each task before the shuffle, so neither a hot host nor a
     # line on every page loads one task.
-    on = pages.select("host", F.explode(hashes).alias("line")).groupBy("host", "line").count()
-    totals = docs.groupBy(F.col(host).alias("of_host")).agg(F.count("*").alias("pages"))
+    on = pages.select("host", *one, F.explode(hashes).alias("line"))
+    totals = docs.select(F.col(host).alias("of_host"), *one)
+    if one:
+        on, totals = on.distinct(), totals.distinct()
+    on = on.groupBy("host", "line").count()
+    totals = totals.groupBy("of_host").agg(F.count("*").alias("pages"))
     often = on.where(F.col("count") >= min_pages)
     often = often.join(totals, F.col("host").eqNullSafe(F.col("of_host")))
     often = often.where(F.col("count") > F.col("pages") * F.lit(max_ratio))
@@ -51,6 +65,7 @@ def drop_boilerplate(
     host: str = "source",
     max_ratio: float = MAX_RATIO,
     min_pages: int = MIN_PAGES,
+    copies: DataFrame | None = None,
 ) -> DataFrame:
     """Return ``docs`` with ``text`` less its boilerplate lines, and the counts of lines.
 
@@ -61,11 +76,11 @@ def drop_boilerplate(
     by shuffling both sides, where it splits a hot host.
 
     Blank lines are never dropped. A null text stays null, with 0 lines; an empty one has one
-    line. A null host is a host of its own. Repeated rows count as pages of their own. An empty
-    table gives no rows.
+    line. A null host is a host of its own. Repeated rows count as pages of their own, unless
+    ``copies`` are given (see ``boilerplate``). An empty table gives no rows.
     """
     own = others(docs, ("n_lines", "n_dropped"))
-    found = stored(boilerplate(docs, host, max_ratio, min_pages), "boilerplate")
+    found = stored(boilerplate(docs, host, max_ratio, min_pages, copies), "boilerplate")
     found = found.toDF("_boilerplate_host", "_boilerplate_lines")
     joined = docs.select(*own).join(
         found, F.col(host).eqNullSafe(F.col("_boilerplate_host")), "left"

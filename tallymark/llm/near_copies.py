@@ -27,6 +27,13 @@ def content_of(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
+def with_class(docs: DataFrame, copies: DataFrame, name: str) -> DataFrame:
+    """Add the root of each text in the result of ``near_copies``, or else its own content."""
+    joined = docs.withColumn(name, content_of())
+    joined = joined.join(copies.toDF("_of_content", "_root"), F.col(name) == F.col("_of_content"), "left")
+    return joined.withColumn(name, F.coalesce("_root", name)).drop("_of_content", "_root")
+
+
 def shingle_hashes(text: bytes, size: int = SHINGLE_WORDS) -> np.ndarray:
     """Return the sorted 64-bit hashes of the runs of ``size`` words, A-Z in lower case.
 
