@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from tallymark.llm.common import encoded, others, plain_names, stored
+from tallymark.llm.near_copies import with_class
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -77,18 +78,23 @@ def shared_lines(
     host: str = "source",
     max_share: float = MAX_LINE_SHARE,
     min_docs: int = MIN_LINE_DOCS,
+    copies: DataFrame | None = None,
 ) -> DataFrame:
     """Return ``host`` and ``lines``, the hashes of the lines above the limit on each host.
 
     The limit is ``max_share`` of the host's documents, and at least ``min_docs``. Documents are
     counted by their text, so exact copies are one document, both for a line and for the host.
+    With ``copies``, the result of ``near_copies``, near copies are one document too, so that a
+    document of very many is not its own boilerplate.
     """
+    by_class = copies is not None
 
     def exploded(batches):
         for batch in batches:
             row, texts, lines = [], [], []
+            same = batch.column("content").to_pylist() if by_class else None
             for at, text in enumerate(encoded(batch, "text")):
-                digest = xxhash.xxh64_intdigest(text) - (1 << 63)
+                digest = same[at] if same else xxhash.xxh64_intdigest(text) - (1 << 63)
                 for line in {hashed for hashed, _ in line_hashes(text)} or {None}:
                     row.append(at)
                     texts.append(digest)
@@ -105,12 +111,15 @@ def shared_lines(
     chosen = docs.select(
         F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text")
     )
+    content = F.xxhash64(F.coalesce("text", F.lit("")))
+    if copies is not None:
+        chosen, content = with_class(chosen, copies, "content"), F.col("content")
     rows = chosen.mapInArrow(exploded, "host string, content long, line long")
     # Two steps, both begun in the tasks: distinct documents of a line, then their number. The
     # first spreads even a line of a third of all documents by the documents' contents.
     counts = rows.distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs"))
     counts = counts.where((F.col("n_docs") > min_docs) & F.col("line").isNotNull())
-    totals = chosen.select(F.col("host").alias("of_host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"))
+    totals = chosen.select(F.col("host").alias("of_host"), content.alias("content"))
     totals = totals.distinct().groupBy("of_host").agg(F.count("*").alias("n_all"))
     counts = counts.join(totals, F.col("host").eqNullSafe(F.col("of_host")))
     often = counts.where(F.col("n_docs") > F.col("n_all") * F.lit(max_share))
@@ -123,6 +132,7 @@ def apply_rules(
     max_share: float = MAX_LINE_SHARE,
     min_docs: int = MIN_LINE_DOCS,
     min_kept_percent: int = MIN_KEPT_PERCENT,
+    copies: DataFrame | None = None,
 ) -> DataFrame:
     """Add the counts, ``base_failed`` and ``kept`` to each row of ``docs``.
 
@@ -136,7 +146,7 @@ def apply_rules(
     """
     added = [field.split()[0] for field in _RESULT.split(", ")]
     own = others(docs, tuple(added))
-    found = stored(shared_lines(docs, host, max_share, min_docs), "shared-lines")
+    found = stored(shared_lines(docs, host, max_share, min_docs, copies), "shared-lines")
     found = found.toDF("_shared_host", "_shared_lines")
     joined = docs.select(*own).join(
         found, F.col(host).cast("string").eqNullSafe(F.col("_shared_host")), "left"
