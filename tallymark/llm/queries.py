@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallymark.llm.chat import prefix_target_examples, read_back
 from tallymark.llm.common import new_path, on_workers
 from tallymark.llm.decontamination import find_contamination
+from tallymark.llm.hard_negatives import hard_negatives
 from tallymark.llm.line_dedup import drop_boilerplate
 from tallymark.llm.packing import pack
 from tallymark.llm.quality_gam import classify
@@ -16,6 +17,7 @@ from tallymark.llm.secrets import BASE_KINDS, RULES, listed, scan_versions
 from tallymark.llm.simhash import near_duplicates
 from tallymark.llm.substring_dedup import remove_repeats
 from tallymark.llm.tokenizer_files import tokenizer_path
+from tallymark.llm.whitening import whiten
 from tallymark.sources import read_table
 
 QUERIES = {}
@@ -144,3 +146,31 @@ def op10_quality_gam(spark, data_dir):
     return classify(
         read_table(spark, data_dir, "documents"), read_table(spark, data_dir, "labels")
     )
+
+
+@query
+def op12_whitening(spark, data_dir):
+    """Return each vector along the first components, whitened, one row for each."""
+    found = whiten(read_table(spark, data_dir, "embeddings"))
+    zipped = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "entry")
+    rows = found.select("vec_id", "n", F.col("deviation").cast("long"), "identity_error", zipped)
+    return rows.select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        "n",
+        "deviation",
+        F.col("entry.whitened").alias("whitened"),
+        F.col("entry.explained").alias("explained"),
+        "identity_error",
+    )
+
+
+@query
+def op13_hard_negatives(spark, data_dir):
+    """Return the hard negatives of the vectors whose ids are divisible by 100.
+
+    Where an id is divisible by 7, the label is first made the next one, modulo 10.
+    """
+    rows = read_table(spark, data_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
