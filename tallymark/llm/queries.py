@@ -10,6 +10,7 @@ from tallymark.llm.decontamination import find_contamination
 from tallymark.llm.hard_negatives import hard_negatives
 from tallymark.llm.line_dedup import drop_boilerplate
 from tallymark.llm.packing import pack
+from tallymark.llm.prefix_join import jaccard_join
 from tallymark.llm.quality_gam import classify
 from tallymark.llm.quality_rules import apply_rules
 from tallymark.llm.records import read_records, write_records
@@ -148,6 +149,13 @@ def op10_quality_gam(spark, data_dir):
     )
 
 
+@query
+def op11_jaccard_join(spark, data_dir):
+    """Return the number of each document's shingles and the component that links join it with."""
+    found = jaccard_join(read_table(spark, data_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 @query
 def op12_whitening(spark, data_dir):
     """Return each vector along the first components, whitened, one row for each."""

@@ -1,10 +1,19 @@
 """SQL for DuckDB whose results equal those of the registered queries of the same names.
 
-Fingerprints (op1), token ids (op5, op8) and the classifier (op10) have no counterpart in SQL;
+Fingerprints (op1), token ids (op5, op8), the classifier (op10) and eigenvectors (op12) have no
+counterpart in SQL;
 their queries are tested against plain versions instead.
 """
 
+from tallymark.llm.hard_negatives import (
+    LEAST_PERCENT,
+    MOST_PERCENT,
+    NEGATIVES,
+    POSITIVES,
+    SCALE as MINED_SCALE,
+)
 from tallymark.llm.line_dedup import MAX_RATIO, MIN_PAGES
+from tallymark.llm.prefix_join import PERCENT
 from tallymark.llm.quality_rules import (
     MAX_LINE_SHARE,
     MAX_REPEAT_PERCENT,
@@ -280,6 +289,78 @@ SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed,
 FROM docs LEFT JOIN kept USING (row_id)
 """
 
+JACCARD_JOIN = f"""
+WITH RECURSIVE docs AS (
+    SELECT row_id, doc_id, coalesce({_WORDS.format(_LOWER.format("text"))}, []) AS words
+    FROM ({_DOCS})
+),
+shingles AS (
+    SELECT DISTINCT row_id, unnest([
+        array_to_string(words[pos:pos + 3], ' ')
+        for pos in range(1, greatest(1, len(words) - 3) + 1)
+    ]) AS shingle
+    FROM docs
+    WHERE len(words) > 0
+),
+sizes AS (SELECT row_id, count(*) AS n FROM shingles GROUP BY row_id),
+shared AS (
+    SELECT a.row_id AS a, b.row_id AS b, count(*) AS n_both
+    FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.row_id <> b.row_id
+    GROUP BY a.row_id, b.row_id
+),
+links AS (
+    SELECT a, b
+    FROM shared JOIN sizes p ON a = p.row_id JOIN sizes q ON b = q.row_id
+    WHERE 100 * n_both >= {PERCENT} * (p.n + q.n - n_both)
+),
+reached AS (
+    SELECT row_id, row_id AS other FROM docs
+    UNION
+    SELECT r.row_id, l.b FROM reached r JOIN links l ON r.other = l.a
+)
+SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM docs d
+JOIN reached r USING (row_id)
+JOIN docs o ON r.other = o.row_id
+LEFT JOIN sizes s ON d.row_id = s.row_id
+GROUP BY d.row_id, d.doc_id
+"""
+
+HARD_NEGATIVES = f"""
+WITH points AS (
+    SELECT vec_id,
+        CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, c -> CAST(floor({MINED_SCALE} * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+    FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(
+        embedding, c -> c IS NULL OR NOT isfinite(CAST(c AS DOUBLE))
+    )) = 0
+),
+scores AS (
+    SELECT a.vec_id AS anchor_id, p.vec_id, a.label = p.label AS same,
+        CAST(list_sum(list_transform(
+            range(1, len(a.x) + 1), i -> a.x[i] * p.x[i]
+        )) AS BIGINT) AS score
+    FROM points a, points p
+    WHERE a.vec_id % 100 = 0 AND a.vec_id <> p.vec_id
+),
+positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+    FROM scores
+    WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {POSITIVES}
+)
+SELECT p.anchor_id, p.positive_id,
+    CAST(row_number() OVER (
+        PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id
+    ) AS INTEGER) AS rank,
+    s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scores s ON p.anchor_id = s.anchor_id AND NOT s.same
+    AND {LEAST_PERCENT} * p.positive_score <= 100 * s.score
+    AND 100 * s.score <= {MOST_PERCENT} * p.positive_score
+QUALIFY rank <= {NEGATIVES}
+"""
+
 ORACLE_SQL = {
     "op2_line_dedup": LINE_DEDUP,
     "op3_decontamination": DECONTAMINATION,
@@ -287,4 +368,6 @@ ORACLE_SQL = {
     "op6_quality_rules": QUALITY_RULES,
     "op7_secret_scan": SECRET_SCAN,
     "op9_substring_dedup": SUBSTRING_DEDUP,
+    "op11_jaccard_join": JACCARD_JOIN,
+    "op13_hard_negatives": HARD_NEGATIVES,
 }
