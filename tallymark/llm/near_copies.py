@@ -5,20 +5,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallymark.llm.bk_tree import heads
-from tallymark.llm.common import encoded, sorted_groups, stored
-from tallymark.llm.components import components
+from tallymark.functions import quoted
+from tallymark.llm.common import encoded, stored
+from tallymark.llm.similar_sets import linked
+from tallymark.llm.substring_dedup import WindowHashes, word_hashes
 
 SHINGLE_WORDS = 5
-SIMILARITY = 0.8
+PERCENT = 80
 BANDS = 24
 BAND_HASHES = 4
-BLOCK_TEXTS = 1000
-# Pairs that agree in less than this share of their MinHashes are not compared. At a similarity
-# of 0.8 that is 4 standard deviations below the mean, for 1 pair in 100,000 or so.
-LEAST_AGREEING = 0.625
 _SHINGLES_AT_ONCE = 4096
-_ROWS_AT_ONCE = 4000
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 31, BANDS * BAND_HASHES, dtype=np.uint32) * 2 + 1
 
 
@@ -28,10 +24,23 @@ def content_of(text: str = "text") -> Column:
 
 
 def with_class(docs: DataFrame, copies: DataFrame, name: str) -> DataFrame:
-    """Add the root of each text in the result of ``near_copies``, or else its own content."""
+    """Add the root of each text in the result of ``near_copies``, or else its own content.
+
+    A column ``name`` of ``docs`` is replaced, all others are kept, whatever their names.
+    """
+    own = [one for one in docs.columns if one.lower() != name.lower()]
+    taken = {one.lower() for one in docs.columns}
+    content, root = (_free(one, taken) for one in ("_of_content", "_root"))
     joined = docs.withColumn(name, content_of())
-    joined = joined.join(copies.toDF("_of_content", "_root"), F.col(name) == F.col("_of_content"), "left")
-    return joined.withColumn(name, F.coalesce("_root", name)).drop("_of_content", "_root")
+    joined = joined.join(copies.toDF(content, root), F.col(name) == F.col(content), "left")
+    found = F.coalesce(F.col(root), F.col(name)).alias(name)
+    return joined.select(*(F.col(quoted(one)) for one in own), found)
+
+
+def _free(name: str, taken: set[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE_WORDS) -> np.ndarray:
@@ -40,9 +49,11 @@ def shingle_hashes(text: bytes, size: int = SHINGLE_WORDS) -> np.ndarray:
     Words are runs of anything but ASCII white space; a text of fewer words is one shingle.
     """
     words = text.lower().split()
-    digest = xxhash.xxh64_intdigest
-    runs = zip(*(words[at:] for at in range(size))) if len(words) > size else [words]
-    return np.array(sorted({digest(b" ".join(run)) for run in runs}), dtype=np.uint64)
+    if not words:
+        return np.zeros(1, dtype=np.uint64)
+    size = min(size, len(words))
+    hashes = WindowHashes(word_hashes(words)).at(np.arange(len(words) - size + 1), size)
+    return np.unique(hashes.view(np.uint64))
 
 
 def min_hashes(hashes: np.ndarray) -> np.ndarray:
@@ -66,70 +77,42 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
 
 
-def similar(left: np.ndarray, right: np.ndarray, similarity: float = SIMILARITY) -> bool:
-    """Return whether two sets of hashes have at least this Jaccard similarity."""
-    if min(len(left), len(right)) < similarity * max(len(left), len(right)):
-        return False
-    both = len(np.intersect1d(left, right, assume_unique=True))
-    return both >= similarity * (len(left) + len(right) - both)
-
-
-def block_links(block, root, sets, across: bool, similarity: float = SIMILARITY):
-    """Return pairs of places that join all near copies among ``sets``, given their ``root``.
-
-    Sets of one root are joined already. If ``across``, only sets of different blocks are
-    compared. Each set is compared with all that are not joined with it by then.
-    """
-    least = np.array([min_hashes(one) for one in sets])
-    sizes = np.array([len(one) for one in sets])
-    label = np.unique(root, return_inverse=True)[1]
-    pairs = []
-    for at in range(len(sets) - 1):
-        later = slice(at + 1, None)
-        open_ = label[later] != label[at]
-        if across:
-            open_ &= block[later] != block[at]
-        open_ &= np.minimum(sizes[later], sizes[at]) >= similarity * np.maximum(sizes[later], sizes[at])
-        others = np.flatnonzero(open_) + at + 1
-        agreeing = (least[others] == least[at]).mean(axis=1)
-        for other in others[agreeing >= LEAST_AGREEING].tolist():
-            if label[other] != label[at] and similar(sets[at], sets[other], similarity):
-                pairs.append((at, other))
-                label[label == label[other]] = label[at]
-    return pairs
-
-
-def _sets(docs: DataFrame, contents: DataFrame) -> DataFrame:
-    """Return ``content`` and the bytes of ``shingle_hashes``, once for each of ``contents``."""
+def _sets(texts: DataFrame) -> DataFrame:
+    """Return the set of each text as ``linked`` takes it."""
 
     def hashed(batches):
         for batch in batches:
-            sets = [shingle_hashes(text).tobytes() for text in encoded(batch, "text")]
+            sets = [shingle_hashes(text) for text in encoded(batch, "text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("content"), pa.array(sets, pa.binary())], names=["content", "hashes"]
+                [
+                    batch.column("content"),
+                    pa.array([len(one) for one in sets], pa.int32()),
+                    pa.array([one.tobytes() for one in sets], pa.binary()),
+                    pa.nulls(len(sets), pa.int32()),
+                    pa.nulls(len(sets), pa.binary()),
+                ],
+                names=["node", "size", "hashes", "needs", "prefix"],
             )
 
-    chosen = docs.select(content_of().alias("content"), F.col("text").cast("string").alias("text"))
-    chosen = chosen.join(contents, "content", "left_semi").dropDuplicates(["content"])
-    return chosen.mapInArrow(hashed, "content long, hashes binary")
+    kinds = "node long, size int, hashes binary, needs int, prefix binary"
+    return texts.select("content", "text").mapInArrow(hashed, kinds)
 
 
-def _from_bytes(column) -> list[np.ndarray]:
-    return [np.frombuffer(one, dtype=np.uint64) for one in column.to_pylist()]
-
-
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY, block_texts: int = BLOCK_TEXTS):
+def near_copies(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id") -> DataFrame:
     """Return ``content`` and ``root`` of all contents that are near copies of a lesser one.
 
     Contents are the hashes of ``content_of``. Linked are those whose texts share a MinHash band
-    and have a Jaccard similarity of at least ``similarity`` over 5-word shingles, by comparing
-    the sets of 64-bit hashes. ``root`` is the least content that links reach, over any steps.
-
-    Each band's texts are first compared with the least of them, so that a group of near copies
-    costs one pair each. Where a band's texts are then in more than one component, all pairs of
-    texts of different components are compared in tasks, in blocks of about ``block_texts``
-    against blocks, so that no task holds more. A band of n texts that are not near copies
-    costs n * n / 2 comparisons of their MinHashes.
+    and have a Jaccard similarity of at least ``percent`` over 5-word shingles, by comparing the
+    sets of 64-bit hashes; see ``linked`` for the cost of large families. ``root`` is the least
+    content that links reach, over any steps. At a similarity of 0.8 about 3 of a million pairs
+    share no band; every pair that does is compared.
+
+    Null and empty texts are one content; texts without words are near copies of each other.
+    Whole texts are read, however long; their sets go to the tasks that compare them only if
+    they share a band with another text. Copies count once: a task keeps one row for each
+    content, and ``key`` names the row whose text is taken, so that copies do not meet in one
+    task. Rows with a null key or a repeated one are like all others. Other columns of ``docs``
+    are not looked at, whatever their names. An empty table gives no rows.
     """
 
     def banded(batches):
@@ -140,62 +123,23 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, block_texts: in
                 names=["content", "keys"],
             )
 
-    def checked(batches):
-        for batch in batches:
-            sets = zip(*(_from_bytes(batch.column(name)) for name in ("left", "right")), strict=True)
-            near = pa.array([similar(a, b, similarity) for a, b in sets], pa.bool_())
-            yield batch.select(["a", "b"]).filter(near)
-
-    def linked(batches):
-        for table in sorted_groups(batches, ("key", "low", "high"), _ROWS_AT_ONCE):
-            key, low, high, block, content, root = (
-                table[name].to_numpy() for name in ("key", "low", "high", "block", "content", "root")
-            )
-            first = heads(key)
-            first |= heads(low) | heads(high)
-            begins = np.flatnonzero(first).tolist()
-            sets, left, right = _from_bytes(table["hashes"]), [], []
-            for begin, end in zip(begins, [*begins[1:], len(key)], strict=True):
-                some = slice(begin, end)
-                across = low[begin] != high[begin]
-                for a, b in block_links(block[some], root[some], sets[some], across, similarity):
-                    left.append(begin + a)
-                    right.append(begin + b)
-            # Roots are joined, for each text is joined with its own.
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(root[left]), pa.array(root[right])], names=["a", "b"]
-            )
-
-    chosen = docs.select(content_of().alias("content"), F.col("text").cast("string").alias("text"))
-    keys = chosen.mapInArrow(banded, "content long, keys array<long>")
-    keys = keys.dropDuplicates(["content"]).select(F.explode("keys").alias("key"), "content")
-    keys = stored(keys, "near-copy-bands")
-    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("pivot"))
-    members = stored(keys.join(stored(buckets.where("n > 1"), "near-copy-buckets"), "key"), "near-copy-members")
-    sets = stored(_sets(docs, members.select("content").distinct()), "near-copy-sets")
-    pairs = members.where("content <> pivot")
-    pairs = pairs.select(F.col("pivot").alias("a"), F.col("content").alias("b")).distinct()
-    # Stored, so that the joins can split the pairs of a text that has very many.
-    pairs = stored(pairs, "near-copy-pairs")
-    both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
-    roots = components(both.mapInArrow(checked, "a long, b long"))
-    placed = members.join(roots, members["content"] == roots["node"], "left")
-    placed = placed.select("key", "n", "content", F.coalesce("root", "content").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"))
-    # With one root, or with two texts that were compared, nothing is left to compare.
-    mixed = stored(mixed.where("least < most").select("key"), "near-copy-mixed")
-    placed = placed.where("n > 2").join(mixed, "key").withColumn("n", F.ceil(F.col("n") / block_texts).cast("int"))
-    placed = stored(
-        placed.withColumn("block", F.pmod(F.xxhash64("content"), F.col("n")).cast("int")),
-        "near-copy-placed",
+    texts = docs.select(
+        F.col(quoted(key)).alias("row"),
+        content_of().alias("content"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    blocks = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    blocks = blocks.select(
-        "key", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"),
-        "block", "content", "root",
+    keys = texts.select("content", "text").mapInArrow(banded, "content long, keys array<long>")
+    keys = keys.dropDuplicates(["content"]).select(
+        F.explode("keys").alias("key"), F.col("content").alias("node"), F.lit(True).alias("own")
     )
-    names = ("key", "low", "high")
-    spread = blocks.join(sets, "content").repartition(*names).sortWithinPartitions(*names, "content")
-    more = spread.mapInArrow(linked, "a long, b long")
-    links = roots.toDF("a", "b").union(more)
-    return components(links).toDF("content", "root")
+    buckets = stored(keys, "near-copy-bands")
+    several = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    several = stored(several.where("low < high").select("key"), "near-copy-shared-bands")
+    buckets = stored(buckets.join(several, "key", "left_semi"), "near-copy-buckets")
+    shared = buckets.select(F.col("node").alias("content")).distinct()
+    rows = texts.groupBy("content").agg(F.min("row").alias("of_row"))
+    wanted = rows.join(shared, "content").withColumnRenamed("content", "of_content")
+    wanted = stored(wanted, "near-copy-rows")
+    same = (F.col("content") == F.col("of_content")) & F.col("row").eqNullSafe(F.col("of_row"))
+    chosen = texts.join(wanted, same, "left_semi").dropDuplicates(["content", "row"])
+    return linked(buckets, stored(_sets(chosen), "near-copy-sets"), percent).toDF("content", "root")

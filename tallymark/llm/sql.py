@@ -1,8 +1,7 @@
 """SQL for DuckDB whose results equal those of the registered queries of the same names.
 
 Fingerprints (op1), token ids (op5, op8), the classifier (op10) and eigenvectors (op12) have no
-counterpart in SQL;
-their queries are tested against plain versions instead.
+counterpart in SQL; their queries are tested against plain versions instead.
 """
 
 from tallymark.llm.hard_negatives import (
@@ -330,16 +329,16 @@ HARD_NEGATIVES = f"""
 WITH points AS (
     SELECT vec_id,
         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-        list_transform(embedding, c -> CAST(floor({MINED_SCALE} * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+        list_transform(embedding, lambda c: CAST(floor({MINED_SCALE} * CAST(c AS DOUBLE)) AS BIGINT)) AS x
     FROM embeddings
     WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(
-        embedding, c -> c IS NULL OR NOT isfinite(CAST(c AS DOUBLE))
+        embedding, lambda c: c IS NULL OR NOT isfinite(CAST(c AS DOUBLE))
     )) = 0
 ),
 scores AS (
     SELECT a.vec_id AS anchor_id, p.vec_id, a.label = p.label AS same,
         CAST(list_sum(list_transform(
-            range(1, len(a.x) + 1), i -> a.x[i] * p.x[i]
+            range(1, len(a.x) + 1), lambda i: a.x[i] * p.x[i]
         )) AS BIGINT) AS score
     FROM points a, points p
     WHERE a.vec_id % 100 = 0 AND a.vec_id <> p.vec_id
