@@ -33,21 +33,35 @@ _HINTS = {
     "hex": "[0-9a-f]{24}",
     "pem": "PRIVATE KEY-----",
     "github": "gh[pousr]_[A-Za-z0-9]{36}",
-    "jwt": r"eyJ[A-Za-z0-9_-]+\.eyJ",
+    "jwt": r"\.eyJ",
 }
+# The same findings as by the rule's pattern, with every character read a few times at most:
+# a run of token characters that does not begin a finding is a match by itself, whose group is
+# empty, so that no place within it is tried again. The finding is the group, which ends the match.
+_RUN = "[A-Za-z0-9_-]"
+_LINEAR = {
+    "jwt": (
+        rf"(?={_RUN}++\.eyJ{_RUN}++\.{_RUN}){_RUN}*?(eyJ{_RUN}++\.eyJ{_RUN}++\.{_RUN}++)|{_RUN}++",
+        1,
+        1,
+    )
+}
+# Matches are placed in parts of so many, for each step copies the array that it adds to.
+_PART = 256
 RULE_VERSION = "2"
 BASE_KINDS = ("assign", "access", "hex")
 _SPAN = "array<struct<start: int, rank: int, end: int>>"
 LEDGER_SCHEMA = f"blob string, rule_version string, spans {_SPAN}"
 
 
-def _found(rank: int, pattern: str, group: int, least: int) -> Column:
+def _found(rank: int, kind: str, pattern: str, group: int, least: int) -> Column:
     """Return the spans of one rule's matches, leftmost and not overlapping, in code points.
 
     The text between matches and the matches themselves alternate, so their lengths give the
-    places.
+    places. The time is in proportion to the text and to the matches in it.
     """
     text = F.col("text")
+    pattern, group, least = _LINEAR.get(kind, (pattern, group, least))
     pairs = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"),
@@ -55,30 +69,66 @@ def _found(rank: int, pattern: str, group: int, least: int) -> Column:
     )
     # The last gap has no match after it.
     pairs = F.filter(pairs, lambda pair: pair["match"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
+    own_start = kind in _LINEAR
+
+    def parts(pairs):
+        numbers = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / _PART).cast("int"))
+        return F.transform(numbers, lambda at: F.slice(pairs, at * _PART + 1, F.lit(_PART)))
+
+    def length(part):
+        return F.aggregate(
+            part,
+            F.lit(0),
+            lambda total, pair: total + F.length(pair["gap"]) + F.length(pair["match"]),
+        )
+
+    def begins(lengths):
+        first = F.array(F.lit(0))
+        return F.aggregate(
+            lengths, first, lambda done, one: F.concat(done, F.array(F.element_at(done, -1) + one))
+        )
 
     def step(state, pair):
         begin = state["at"] + F.length(pair["gap"])
         end = begin + F.length(pair["match"])
-        span = F.array(F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end")))
+        first = end - F.length(pair["value"]) if own_start else begin
+        span = F.array(F.struct(first.alias("start"), F.lit(rank).alias("rank"), end.alias("end")))
         long_enough = F.length(pair["value"]) >= least
-        return F.struct(
-            end.alias("at"),
-            F.when(long_enough, F.concat(state["spans"], span))
-            .otherwise(state["spans"])
-            .alias("spans"),
+        spans = F.when(long_enough, F.concat(state["spans"], span)).otherwise(state["spans"])
+        return F.struct(end.alias("at"), spans.alias("spans"))
+
+    def placed(part, begin):
+        start = F.struct(begin.alias("at"), F.array().cast(_SPAN).alias("spans"))
+        return F.aggregate(part, start, step, lambda state: state["spans"])
+
+    def spans(parts):
+        starts = begins(F.transform(parts, length))
+        return F.flatten(
+            F.transform(
+                F.arrays_zip(parts.alias("part"), F.slice(starts, 1, F.size(parts)).alias("begin")),
+                lambda one: placed(one["part"], one["begin"]),
+            )
         )
 
-    return F.aggregate(pairs, start, step, lambda state: state["spans"])
+    def found(pairs):
+        none = F.array().cast(_SPAN)
+        return F.when(F.size(pairs) > 0, _once(parts(pairs), spans)).otherwise(none)
+
+    return _once(pairs, found)
+
+
+def _once(value: Column, use) -> Column:
+    """Return ``use(value)``, where ``value`` is found once however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def scan(blobs: DataFrame) -> DataFrame:
     """Add ``spans`` to rows with a ``text``: the matches of all rules, by start and rule."""
     none = F.array().cast(_SPAN)
     found = [
-        F.when(F.col("text").rlike(_HINTS[kind]), _found(rank, pattern, group, least)).otherwise(
-            none
-        )
+        F.when(
+            F.col("text").rlike(_HINTS[kind]), _found(rank, kind, pattern, group, least)
+        ).otherwise(none)
         for rank, (kind, pattern, group, least) in enumerate(RULES)
     ]
     return blobs.withColumn("spans", F.array_sort(F.concat(*found)))
@@ -102,7 +152,7 @@ def scan_versions(
 
     A null text is an empty one. Rows with a null path, and repeated rows, are returned like all
     others. The spans give start and end (exclusive) in code points and the rule's rank in
-    ``RULES``. An empty table gives no rows and leaves the ledger as it is.
+    ``RULES``. The time that a text takes grows in proportion to its length. An empty table gives no rows and leaves the ledger as it is.
     """
     spark = versions.sparkSession
     texts = versions.select(

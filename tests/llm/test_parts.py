@@ -1,7 +1,9 @@
 """The parts of the operators, against plain versions."""
 
 import random
+import re
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -18,6 +20,7 @@ from tallymark.llm.packing import OpenBins
 from tallymark.llm.quality_gam import FEATURES, features_of, fit
 from tallymark.llm.quality_rules import repeat_words
 from tallymark.llm.records import frame, unframe
+from tallymark.llm.secrets import RULES, scan
 from tallymark.llm.simhash import fingerprint, near_links, shard_masks
 from tallymark.llm.substring_dedup import COVERS, WindowHashes, anchor_places, cover_of, word_hashes
 from tallymark.llm.tokenizer_files import tokenizer_path
@@ -250,3 +253,49 @@ def test_model_learns_a_pair_that_no_feature_shows_alone():
 def test_features_are_finite(text):
     values = features_of(text)
     assert len(values) == len(FEATURES) and np.isfinite(values).all()
+
+
+def plain_spans(text):
+    """Return all rules' findings by Python's expressions, whose classes are those of ASCII."""
+    found = []
+    for rank, (_, pattern, group, least) in enumerate(RULES):
+        pattern = pattern.replace("(?i:", "(?ai:")
+        matches = [m for m in re.finditer(pattern, text) if len(m.group(group)) >= least]
+        found += [(m.start(), rank, m.end()) for m in matches]
+    return sorted(found)
+
+
+def scanned(spark, texts):
+    frame = spark.createDataFrame([(at, one) for at, one in enumerate(texts)], "at int, text string")
+    rows = scan(frame).select("at", "spans").collect()
+    return {row["at"]: [tuple(span) for span in row["spans"]] for row in rows}
+
+
+def test_secret_spans_of_any_tokens(spark):
+    rng = random.Random(8)
+    parts = ["eyJ", ".", "a", "-_", " ", "eyJa", ".eyJ", "\U0001f600", "token=", "ghp_" + "a" * 40, "AKIA" + "Z" * 20, "0" * 25]
+    texts = ["".join(rng.choices(parts, k=k % 40)) for k in range(1500)]
+    texts += ["eyJ.eyJa.a", "eyJa.eyJ.a", "xeyJeyJ.eyJb.c.eyJd.e", "eyJa.eyJa.a.eyJa.eyJa.a", ""]
+    got = scanned(spark, texts)
+    for at, text in enumerate(texts):
+        assert got[at] == plain_spans(text), text
+    assert sum(rank == 5 for spans in got.values() for _, rank, _ in spans) > 100
+
+
+@pytest.mark.parametrize("kind", ["keys", "eyJ", "eyJ with an end", "hex", "blanks", "dashes"])
+def test_secret_scan_of_a_long_text_is_linear(spark, kind):
+    text = {
+        "keys": "".join(f"{k:030x} " for k in range(100_000)),
+        "eyJ": "eyJ" * 400_000,
+        "eyJ with an end": "eyJ" * 400_000 + ".eyJ a",
+        "hex": "0123456789abcdef" * 65_536,
+        "blanks": "token" + " " * 1_000_000 + "secret:" + " " * 1_000_000,
+        "dashes": "-----BEGIN " * 100_000,
+    }[kind]
+    scanned(spark, ["warm up token=123456 .eyJ"])
+    begun = time.perf_counter()
+    got = scanned(spark, [text])[0]
+    assert time.perf_counter() - begun < 20
+    assert len(got) == {"keys": 100_000, "hex": 1}.get(kind, 0)
+    if kind == "keys":
+        assert got == plain_spans(text)
