@@ -31,11 +31,18 @@ def heads(values: np.ndarray) -> np.ndarray:
     return first
 
 
-def build(group: np.ndarray, prints: np.ndarray) -> Forest:
-    """Build a tree for each group; ``group`` is sorted, its fingerprints are distinct."""
-    first = heads(group)
-    root = np.flatnonzero(first)[np.cumsum(first) - 1]
-    rest = np.flatnonzero(~first)
+def build(group: np.ndarray, prints: np.ndarray, is_node: np.ndarray | None = None) -> Forest:
+    """Build a tree for each group; ``group`` is sorted, its fingerprints are distinct.
+
+    With ``is_node``, only these fingerprints are in the trees; the others can be queries. The
+    root is -1 where a group has no node.
+    """
+    nodes = np.arange(len(group)) if is_node is None else np.flatnonzero(is_node)
+    first = heads(group[nodes])
+    roots = np.append(nodes[first], -1)
+    root = roots[np.searchsorted(group[roots[:-1]], group)]
+    root[group[root] != group] = -1
+    rest = nodes[~first]
     node = root[rest]
     edges, children = [], []
     while len(rest):

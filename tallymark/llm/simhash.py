@@ -91,10 +91,11 @@ def shard_masks(n_prints: int, radius: int) -> list[int]:
 def near_links(prints: DataFrame, radius: int = RADIUS, slice_prints: int = SLICE_PRINTS):
     """Return edges that join all distinct ``print`` values within ``radius`` bits.
 
-    Prints meet in the shards of ``shard_masks``; each shard is one BK-tree. The tree of a
-    shard of more than ``slice_prints`` prints is sent to several tasks, each of which searches
-    it for its slice of the prints, so that no task has all the queries of a large shard. A
-    task returns a spanning forest of the links it found, not the pairs.
+    Prints meet in the shards of ``shard_masks``; each shard is one BK-tree. A shard of n prints,
+    more than ``slice_prints``, is cut into k = ceil(n / ``slice_prints``) slices with a tree each;
+    every two slices meet in one task, which searches the tree of one for the prints of the
+    other. So no task holds more than two slices, and each print of such a shard is sent k
+    times. A task returns a spanning forest of the links it found, not the pairs.
     """
     masks = [int(np.uint64(mask).astype(np.int64)) for mask in shard_masks(prints.count(), radius)]
     shards = F.explode(
@@ -112,14 +113,16 @@ def near_links(prints: DataFrame, radius: int = RADIUS, slice_prints: int = SLIC
         "large-shards",
     )
     slices = F.coalesce(F.col("slices"), F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64("print"), F.col("slices")).cast("int")
     placed = (
         placed.join(large, ["mask", "part"], "left")
         .withColumn("slices", slices)
-        .withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-        .withColumn("asked", F.pmod(F.xxhash64("print"), F.col("slices")) == F.col("slice"))
-        .select("mask", "part", "slice", "print", "asked")
+        .withColumn("slice", own)
+        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        .withColumns({"low": F.least("slice", "with"), "high": F.greatest("slice", "with")})
+        .select("mask", "part", "low", "high", "slice", "print")
     )
-    names = ("mask", "part", "slice")
+    names = ("mask", "part", "low", "high")
 
     def linked(batches):
         for table in sorted_groups(batches, names, _ROWS_AT_ONCE):
@@ -129,8 +132,9 @@ def near_links(prints: DataFrame, radius: int = RADIUS, slice_prints: int = SLIC
                 new[1:] |= values[1:] != values[:-1]
             group = np.cumsum(new)
             signed = table["print"].to_numpy()
-            forest = build(group, signed.view(np.uint64))
-            queries = np.flatnonzero(table["asked"].to_numpy(zero_copy_only=False))
+            low, high, own = (table[name].to_numpy() for name in ("low", "high", "slice"))
+            forest = build(group, signed.view(np.uint64), own == low)
+            queries = np.flatnonzero((own == high) & (forest.root >= 0))
             # As many queries at once as keep the pairs of query and node in bounds.
             cost = np.cumsum(np.bincount(group)[group[queries]]) // _PAIRS_AT_ONCE
             left, right = [], []

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from brute import components, simhash
 from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallymark.llm import simhash as simhash_module
@@ -92,6 +93,27 @@ def test_links_over_shards_and_slices(spark, monkeypatch, slice_prints, shard_pr
     assert sorted(map(sorted, classes.values())) == sorted(map(sorted, expected.values()))
 
 
+def test_a_family_of_200_000_prints_in_one_shard(spark):
+    # Balls of radius 2 around centres that differ in 12 bits or more, and all in the same 13.
+    rng, centres = random.Random(3), []
+    while len(centres) < 151:
+        one = rng.getrandbits(51)
+        if all((one ^ other).bit_count() >= 12 for other in centres):
+            centres.append(one)
+    flips = [0, *(1 << a for a in range(51))]
+    flips += [1 << a | 1 << b for a in range(51) for b in range(a)]
+    prints = np.bitwise_xor.outer(np.array(centres), np.array(flips))
+    assert prints.size > 200_000
+    frame = spark.createDataFrame(prints.reshape(-1, 1), "print long").repartition(8)
+    assert simhash_module.shard_masks(prints.size, 4)[0].bit_count() == 13
+    roots = star_components(near_links(frame, 4)).toPandas()
+    root = dict(zip(roots["node"], roots["root"], strict=True))
+    for ball in prints.tolist():
+        assert {root.get(one, one) for one in ball} == {min(ball)}
+    sizes = frame.select(F.pmod(F.xxhash64("print"), F.lit(5)).alias("slice")).groupBy("slice")
+    assert sizes.count().agg(F.max("count")).first()[0] < 50_000
+
+
 def test_components_of_a_path_and_a_hub(spark):
     edges = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(1000, 1100)] + [(5, 5)]
     random.Random(2).shuffle(edges)
