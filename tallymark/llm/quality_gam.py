@@ -2,7 +2,7 @@
 
 Each feature of a text is cut into bins, and shallow trees boosted on one feature at a time, in
 turns over all features, add up to one table of points per feature. Then pairs of features get
-tables in the same way. A score is the logistic of the intercept plus the points of the bins,
+tables in the same way, by trees that cut once along each of the two. A score is the logistic of the intercept plus the points of the bins,
 so scoring is a lookup and an addition per table, on whole columns.
 """
 
@@ -147,7 +147,15 @@ class Model:
 
 
 def _cuts(column: np.ndarray, bins: int) -> np.ndarray:
-    return np.unique(np.quantile(column, np.linspace(0, 1, bins + 1)[1:-1], method="higher"))
+    """Return the least value of each bin but the first.
+
+    Bins hold about equal numbers of rows. The commonest value has a bin of its own, so that a
+    feature that is seldom other than 0 still tells the rows where it is.
+    """
+    quantiles = np.quantile(column, np.linspace(0, 1, bins + 1)[1:-1], method="higher")
+    values, counts = np.unique(column, return_counts=True)
+    commonest = values[counts.argmax()]
+    return np.unique([*quantiles, commonest, np.nextafter(commonest, np.inf)])
 
 
 def _shallow_tree(gradient: np.ndarray, weight: np.ndarray, leaves: int) -> np.ndarray:
@@ -176,6 +184,26 @@ def _shallow_tree(gradient: np.ndarray, weight: np.ndarray, leaves: int) -> np.n
     return step
 
 
+def _pair_tree(gradient: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Return the step of each cell of a table by the best tree with one cut along each side.
+
+    A cut after the last bin is none.
+    """
+    gradients, weights = (part.cumsum(0).cumsum(1) for part in (gradient, weight))
+
+    def quarters(sums):
+        low_low, low_all, all_low = sums, sums[:, -1:], sums[-1:, :]
+        rest = sums[-1, -1] - low_all - all_low + low_low
+        return np.stack([low_low, low_all - low_low, all_low - low_low, rest])
+
+    of_gradient, of_weight = quarters(gradients), quarters(weights)
+    gains = (of_gradient**2 / (of_weight + RIDGE)).sum(axis=0)
+    row, column = np.unravel_index(gains.argmax(), gains.shape)
+    steps = of_gradient[:, row, column] / (of_weight[:, row, column] + RIDGE)
+    high_row = np.arange(gradient.shape[0])[:, None] > row
+    return steps[2 * high_row + (np.arange(gradient.shape[1]) > column)]
+
+
 def fit(columns: list[np.ndarray], labels: np.ndarray) -> Model:
     """Fit the model to rows given as columns of features, and their labels 0 or 1."""
     rows = len(labels)
@@ -205,19 +233,15 @@ def fit(columns: list[np.ndarray], labels: np.ndarray) -> Model:
             gradient, weight = slopes(bins[a] * wide + bins[b], (len(coarse[a]) + 1) * wide)
             gains[a, b] = float((gradient**2 / (weight + RIDGE)).sum())
     pairs = sorted(gains, key=lambda pair: (-gains[pair], pair))[: PAIRS if rows else 0]
-    tables = [np.zeros((len(coarse[a]) + 1) * (len(coarse[b]) + 1)) for a, b in pairs]
+    tables = [np.zeros((len(coarse[a]) + 1, len(coarse[b]) + 1)) for a, b in pairs]
     places = [bins[a] * (len(coarse[b]) + 1) + bins[b] for a, b in pairs]
     for _ in range(PAIR_ROUNDS):
         for at, table in zip(places, tables, strict=True):
-            gradient, weight = slopes(at, len(table))
-            step = RATE * gradient / (weight + RIDGE)
+            sums = (part.reshape(table.shape) for part in slopes(at, table.size))
+            step = RATE * _pair_tree(*sums)
             table += step
-            total += step[at]
-    shaped = [
-        table.reshape(len(coarse[a]) + 1, len(coarse[b]) + 1)
-        for (a, b), table in zip(pairs, tables, strict=True)
-    ]
-    return Model(intercept, cuts, points, pairs, coarse, shaped)
+            total += step.ravel()[at]
+    return Model(intercept, cuts, points, pairs, coarse, tables)
 
 
 def text_features(docs: DataFrame) -> DataFrame:
@@ -251,6 +275,26 @@ def is_held_out(doc_id: int | None) -> bool:
     return zlib.crc32(str("" if doc_id is None else doc_id).encode()) % 4 == 2
 
 
+def _least_hashed(measured: DataFrame, marks: DataFrame, most: int) -> DataFrame:
+    """Return the labelled rows whose ids have the least hashes, ``most`` or some more of them.
+
+    The bound on the hash comes from the number of all labelled rows, so that what is ordered
+    afterwards does not grow with the number of tasks. It is doubled until enough rows are below.
+    """
+    ids = measured.select("doc_id").join(marks, "doc_id")
+    total, share = ids.count(), 1.0
+    if total > 2 * most:
+        share = 2 * most / total
+        while share < 1 and ids.where(_hash_below(share)).count() < most:
+            share *= 2
+    return measured.join(marks if share >= 1 else marks.where(_hash_below(share)), "doc_id")
+
+
+def _hash_below(share: float):
+    """Return whether the hash of an id is among the least ``share`` of all hashes."""
+    return F.xxhash64("doc_id") < F.lit(int(share * 2**64) - 2**63)
+
+
 def classify(
     docs: DataFrame,
     labels: DataFrame,
@@ -273,7 +317,8 @@ def classify(
     spark = docs.sparkSession
     measured = stored(text_features(docs), "text-features")
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("mark"))
-    known = measured.join(marks.where("mark IN (0, 1)"), "doc_id").where(~held_out())
+    marks = marks.where("mark IN (0, 1)").where(~held_out())
+    known = _least_hashed(measured, stored(marks, "marks"), max_rows)
     sample = (
         known.orderBy(F.xxhash64("doc_id"), "doc_id", "mark", *FEATURES)
         .limit(max_rows)
