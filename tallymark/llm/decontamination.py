@@ -14,9 +14,10 @@ from tallymark.llm.fm_index import FMIndex
 
 WINDOW_WORDS = 10
 SHARD_WORDS = 500_000
-# A block of test phrases is what a task searches at once, a pass what is broadcast at once.
+# A block of test phrases is what a task searches at once, a pass what is broadcast at once. A
+# worker builds the phrases of each block of a pass once and keeps them, about 10 MB a block.
 BLOCK_CHARS = 1_000_000
-PASS_BLOCKS = 32
+PASS_BLOCKS = 16
 _CHUNK_WINDOWS = 1_000
 _SPANS = "array<struct<start: long, end: long>>"
 
@@ -41,27 +42,41 @@ class Phrases:
         self.numbers, windows, of_item = {}, {}, []
         self.names = sorted({item for item, _ in chunks if item is not None})
         index = {name: at for at, name in enumerate(self.names)}
+        said, first, lengths = [], [], []
         for item, text in chunks:
             words = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in text.split()]
             for at in range(max(1, len(words) - window + 1) if words else 0):
                 key = tuple(words[at : at + window])
                 number = windows.setdefault(key, len(windows))
+                if number == len(first):
+                    first.append(len(said) + at)
+                    lengths.append(len(key))
                 if item is not None:
                     of_item.append((number, index[item]))
-        self.most = len(self.numbers)
-        self.lengths = np.array([len(key) for key in windows], dtype=np.int64)
-        self.windows = np.zeros((len(windows), window), dtype=np.int64)
-        for at, key in enumerate(windows):
-            self.windows[at, : len(key)] = key
+            said += words
+        del windows
+        self.most, self.window = len(self.numbers), window
+        # The words of all chunks, one after the other, and where in them each window begins.
+        self.said = np.array([*said, *[0] * window], dtype=np.int32)
+        self.first = np.array(first, dtype=np.int32)
+        self.lengths = np.array(lengths, dtype=np.int64)
         pairs = np.unique(np.array(of_item, dtype=np.int64).reshape(-1, 2), axis=0)
-        self.item = pairs[:, 1]
-        self.item_from = np.searchsorted(pairs[:, 0], np.arange(len(windows) + 1))
+        self.item = pairs[:, 1].astype(np.int32)
+        self.item_from = np.searchsorted(pairs[:, 0], np.arange(len(first) + 1))
         # The shortest window that begins with a word, and the pairs of words inside windows.
         self.shortest = np.full(self.most + 1, np.iinfo(np.int64).max)
-        np.minimum.at(self.shortest, self.windows[:, 0], self.lengths)
-        left, right = self.windows[:, :-1], self.windows[:, 1:]
+        every = self.windows()
+        np.minimum.at(self.shortest, every[:, 0], self.lengths)
+        left, right = every[:, :-1], every[:, 1:]
         self.pairs = np.unique((left * (self.most + 1) + right)[right > 0])
 
+    def windows(self) -> np.ndarray:
+        """Return the words of each window, with zeros after those of a shorter one."""
+        at = np.arange(self.window)
+        every = self.said[self.first[:, None] + at].astype(np.int64)
+        every[at >= self.lengths[:, None]] = 0
+        return every
+
     def symbols(self, texts: list[list[bytes]]) -> np.ndarray:
         """Return the words' numbers, 0 for a word of no window and after each text."""
         sizes = [len(words) + 1 for words in texts]
@@ -112,7 +127,7 @@ class Phrases:
         if not len(text):
             return np.empty(0, np.int64), np.empty(0, np.int64)
         index = FMIndex(text, self.most)
-        window, at = index.locate(*index.search(self.windows, self.lengths))
+        window, at = index.locate(*index.search(self.windows(), self.lengths))
         return window, place[at]
 
 
@@ -139,7 +154,7 @@ def char_spans(text: str, hits: list[dict]) -> list[dict]:
     return [{"start": spans[h["start"]][0], "end": spans[h["end"] - 1][1]} for h in hits]
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=PASS_BLOCKS)
 def _phrases(chunks: tuple, window: int) -> Phrases:
     return Phrases(list(chunks), window)
 
