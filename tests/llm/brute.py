@@ -1,10 +1,12 @@
 """Plain versions of the operators, on lists of rows, to hold the results against."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers
 import xxhash
 from tokenizers import Tokenizer
@@ -205,3 +207,100 @@ def line_dedup(docs, ratio=0.1, least=5):
                 kept.append(line)
         out.append((doc_id, len(lines), len(lines) - len(kept), "\n".join(kept)))
     return out
+
+
+def jaccard_sets(text, size):
+    words = WORD.findall((text or "").translate(LOWER))
+    return {tuple(words[at : at + size]) for at in range(max(1, len(words) - size + 1)) if words}
+
+
+def jaccard_classes(docs, percent, size, empty_linked=False):
+    """docs: (doc_id, text); returns the class of each row by comparing all pairs of sets."""
+    sets = [jaccard_sets(text, size) for _, text in docs]
+    root = list(range(len(docs)))
+    for at, left in enumerate(sets):
+        for other in range(at):
+            right = sets[other]
+            near = 100 * len(left & right) >= percent * len(left | right)
+            if root[at] != root[other] and near and (empty_linked or (left and right)):
+                low, high = sorted((root[at], root[other]))
+                root = [low if one == high else one for one in root]
+    return root
+
+
+def jaccard_join(docs, percent=85, size=4):
+    """docs: (doc_id, text); returns (doc_id, n_shingles, component_id)."""
+    roots, ids = jaccard_classes(docs, percent, size), defaultdict(list)
+    for (doc_id, _), root in zip(docs, roots, strict=True):
+        if doc_id is not None:
+            ids[root].append(doc_id)
+    return [
+        (doc_id, len(jaccard_sets(text, size)), min(ids[root], default=None))
+        for (doc_id, text), root in zip(docs, roots, strict=True)
+    ]
+
+
+def usable(vector):
+    return vector is not None and len(vector) > 0 and all(
+        c is not None and math.isfinite(c) for c in vector
+    )
+
+
+def whitened(rows, most=8):
+    """rows: (vec_id, vector); returns each row's deviation and the exact and whitened parts."""
+    kept = [(key, [math.floor(1024 * c) + 100_000 for c in v]) for key, v in rows if usable(v)]
+    n = len(kept)
+    sums = [sum(column) for column in zip(*(x for _, x in kept), strict=True)]
+    x = np.array([[a - s / n for a, s in zip(one, sums)] for _, one in kept])
+    values, vectors = np.linalg.eigh(x.T @ x / n)
+    order = np.argsort(-values)[:most]
+    scores = x @ vectors[:, order] / np.sqrt(values[order])
+    deviations = [sum((n * a - s) ** 2 for a, s in zip(one, sums)) for _, one in kept]
+    return [key for key, _ in kept], deviations, scores, values[order] / values.sum()
+
+
+def hard_negatives(rows, anchors=100):
+    """rows: (vec_id, vector, label); returns sorted rows for the ids divisible by ``anchors``."""
+    points = [
+        (key, [math.floor(256 * c) for c in v], label)
+        for key, v, label in rows
+        if usable(v) and label is not None and key is not None
+    ]
+    out = set()
+    for key, vector, label in points:
+        if key % anchors:
+            continue
+        scored = sorted(
+            (-sum(a * b for a, b in zip(vector, v, strict=True)), k, own)
+            for k, v, own in points
+            if k != key
+        )
+        for positive, name, _ in [one for one in scored if one[2] == label][:5]:
+            fits = [
+                (-s, k) for s, k, own in scored
+                if own != label and 80 * -positive <= 100 * -s <= 100 * -positive
+            ][:5]
+            out |= {(key, name, at + 1, k, -positive, s) for at, (s, k) in enumerate(fits)}
+    return sorted(out)
+
+
+def without_contamination(docs, items, size=10):
+    """docs: (doc_id, text); returns each text less the spans that occur in an item."""
+    windows = set()
+    for _, text in items:
+        words = tuple(TEST_WORD.findall((text or "").translate(LOWER)))
+        windows |= {words[at : at + size] for at in range(max(1, len(words) - size + 1)) if words}
+    out = []
+    for doc_id, text in docs:
+        places = [m.span() for m in TEST_WORD.finditer(text.translate(LOWER))]
+        words = tuple(text.translate(LOWER)[a:b] for a, b in places)
+        hit = set()
+        for length in {len(window) for window in windows}:
+            for at in range(len(words) - length + 1):
+                if words[at : at + length] in windows:
+                    hit.update(range(at, at + length))
+        gone = {k for at in hit for k in range(*places[at])}
+        gone |= {k for at in hit if at + 1 in hit for k in range(places[at][1], places[at + 1][0])}
+        left = "".join(c for at, c in enumerate(text) if at not in gone)
+        out.append((doc_id, left, bool(hit)))
+    return out

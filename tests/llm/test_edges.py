@@ -3,24 +3,31 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from brute import (
     contamination,
     crc_of,
+    hard_negatives as plain_negatives,
+    jaccard_join as plain_join,
     line_dedup,
     near_duplicates,
     repeats,
     rules,
     secrets,
     token_ids,
+    whitened,
 )
 from pyspark.sql import functions as F
 
 from tallymark.llm.chat import prefix_target_examples, read_back, read_turns
 from tallymark.llm.common import new_path, on_workers
 from tallymark.llm.decontamination import find_contamination, without_spans
+from tallymark.llm.hard_negatives import hard_negatives
 from tallymark.llm.line_dedup import drop_boilerplate
 from tallymark.llm.packing import pack
+from tallymark.llm.near_copies import near_copies, with_class
+from tallymark.llm.prefix_join import jaccard_join
 from tallymark.llm.quality_gam import classify
 from tallymark.llm.quality_rules import apply_rules
 from tallymark.llm.records import read_records, write_records
@@ -28,6 +35,7 @@ from tallymark.llm.secrets import read_ledger, scan_versions
 from tallymark.llm.simhash import near_duplicates as simhash_classes
 from tallymark.llm.substring_dedup import remove_repeats
 from tallymark.llm.tokenizer_files import tokenizer_path
+from tallymark.llm.whitening import whiten
 
 # Columns whose names the operators use for their own, and one with a blank in its name.
 CLASHING = (
@@ -246,6 +254,104 @@ def test_chat(spark):
     assert whole[third[2]["loss_start"] :][: third[2]["loss_chars"]] == "same"
 
 
+def test_jaccard_join(docs):
+    expected = plain_join([(row[0], row[1]) for row in TEXTS])
+    got = sets(jaccard_join(docs), "doc_id", "n_shingles", "component_id")
+    assert got == sorted(expected, key=repr)
+    assert any(row[0] == 4 and row[2] == 3 for row in got)
+
+
+def test_near_copies(docs):
+    found = near_copies(docs)
+    classes = with_class(docs.withColumn("_root", F.lit(7)), found, "Content")
+    assert classes.columns.count("Content") == 1 and "_root" in classes.columns
+    got = {}
+    for row in classes.select("text", "Content").collect():
+        got.setdefault(row["Content"], set()).add(row["text"])
+    assert {None, "", " \t\n\x0b\x0c\r "} in got.values()
+    assert {LONG, LONG + " end"} in got.values()
+    assert near_copies(docs.where("false")).collect() == []
+
+
+NAN, INF = float("nan"), float("inf")
+VECTORS = [
+    *((k, [random.Random(k).gauss(0, 1) + (k % 3) for _ in range(6)], k % 4) for k in range(60)),
+    (60, None, 1),
+    (61, [], 1),
+    (62, [0.5] * 5 + [None], 1),
+    (63, [0.5] * 5 + [NAN], 1),
+    (64, [0.5] * 5 + [-INF], 1),
+    (3, [0.25] * 6, 3),
+    (3, [0.25] * 6, 3),
+    (7, [0.25] * 6, 2),
+    (None, [1.0, 0.5, 0.0, 0.0, -1.0, 2.0], 1),
+    (65, [1.0, 0.5, 0.0, 0.0, -1.0, 2.0], None),
+    (80, [-0.0, 1e-9, -1e-9, 0.0, 0.0, 0.0], 0),
+]
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    on_workers(spark)
+    frame = spark.createDataFrame(VECTORS, "vec_id long, embedding array<float>, label int")
+    extra = ("n", "x", "at", "id", "index", "deviation", "rank", "slot", "is_anchor", "a.b`c")
+    return frame.withColumns({name: F.lit("other") for name in extra}).repartition(3)
+
+
+def floats(rows):
+    return [(k, None if v is None else [c if c is None else float(np.float32(c)) for c in v], *r) for k, v, *r in rows]
+
+
+def test_whitening(spark, vectors):
+    keys, deviations, scores, shares = whitened([row[:2] for row in floats(VECTORS)], 4)
+    for block_rows in (2048, 7):
+        got = whiten(vectors, most=4, block_rows=block_rows).collect()
+        assert len(got) == len(keys)
+        by_key = {}
+        for row in got:
+            by_key.setdefault(row["vec_id"], []).append(row)
+        assert all(row["n"] == len(keys) and row["identity_error"] < 1e-9 for row in got)
+        np.testing.assert_allclose(got[0]["explained"], shares, rtol=1e-9)
+        sign = np.sign([s * m for s, m in zip(by_key[0][0]["whitened"], scores[keys.index(0)])])
+        for key, deviation, score in zip(keys, deviations, scores, strict=True):
+            near = [
+                row for row in by_key[key]
+                if int(row["deviation"]) == deviation
+                and np.allclose(np.array(row["whitened"]) * sign, score, atol=1e-9)
+            ]
+            assert near
+    # A vector that is not as long as most are; none with variance; one alone.
+    odd = vectors.select("vec_id", "embedding").union(spark.sql("SELECT 99L, array(1f)"))
+    assert whiten(odd).where("vec_id = 99").count() == 0
+    same = spark.range(4).select(F.col("id").alias("vec_id"), F.array(F.lit(0.5), F.lit(1.0)).alias("embedding"))
+    assert [row["whitened"] for row in whiten(same).collect()] == [[]] * 4
+    assert whiten(vectors.where("false")).collect() == []
+
+
+def test_whitening_in_slabs(vectors, monkeypatch):
+    whole = sets(whiten(vectors, block_rows=3), "vec_id", F.round(F.col("whitened")[0], 6))
+    monkeypatch.setattr("tallymark.llm.whitening.PARTITION_BLOCKS", 2)
+    monkeypatch.setattr("tallymark.llm.whitening.SLAB_PARTITIONS", 2)
+    assert whole == sets(whiten(vectors, block_rows=3), "vec_id", F.round(F.col("whitened")[0], 6))
+
+
+def test_hard_negatives(spark, vectors):
+    expected = plain_negatives(floats(VECTORS), 5)
+    columns = ("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    for size in (16_000_000, 200):
+        found = hard_negatives(vectors, F.col("vec_id") % 5 == 0, pass_bytes=size)
+        got = sets(found, *columns)
+        assert sorted(set(got)) == expected and len(expected) > 50
+    assert hard_negatives(vectors, F.lit(False)).collect() == []
+    assert hard_negatives(vectors.where("false"), F.lit(True)).collect() == []
+    # Whole numbers beyond those that doubles hold, and beyond those that longs hold.
+    large = [(k, [float(3**17 + k * k), float(k)], k % 2) for k in range(12)]
+    frame = spark.createDataFrame(large, "vec_id long, embedding array<double>, label int")
+    assert sets(hard_negatives(frame, F.lit(True)), *columns) == plain_negatives(large, 1)
+    with pytest.raises(ValueError, match="no long can hold"):
+        hard_negatives(frame.withColumn("embedding", F.array(F.lit(1e9), F.lit(1e9))), F.lit(True))
+
+
 def test_empty_tables(spark, docs):
     none = docs.where("false")
     items = spark.createDataFrame([], "item_id long, text string")
@@ -264,6 +370,7 @@ def test_empty_tables(spark, docs):
     assert pack(none, tokenizer_path("byte_bpe_50k.json"), 0).collect() == []
     assert remove_repeats(none).collect() == []
     assert classify(none, labels).collect() == []
+    assert jaccard_join(none).collect() == []
 
 
 def test_pipeline_stages(spark, docs):

@@ -15,13 +15,18 @@ from tokenizers import Tokenizer
 from tallymark.llm import simhash as simhash_module
 from tallymark.llm.bk_tree import build, least_labels, links
 from tallymark.llm.components import components as star_components
-from tallymark.llm.decontamination import merged
+from tallymark.llm import decontamination
+from tallymark.llm.decontamination import Phrases, merged
 from tallymark.llm.fm_index import FMIndex, suffix_array
 from tallymark.llm.packing import OpenBins
-from tallymark.llm.quality_gam import FEATURES, features_of, fit
+from tallymark.llm import quality_gam
+from tallymark.llm.prefix_join import adapted_prefix, indexed_length, probing_length, split_set
+from tallymark.llm.quality_gam import FEATURES, Model, features_of, fit
 from tallymark.llm.quality_rules import repeat_words
+from tallymark.llm.r_tree import RTree
 from tallymark.llm.records import frame, unframe
 from tallymark.llm.secrets import RULES, scan
+from tallymark.llm.similar_sets import Overlaps, block_links, similar
 from tallymark.llm.simhash import fingerprint, near_links, shard_masks
 from tallymark.llm.substring_dedup import COVERS, WindowHashes, anchor_places, cover_of, word_hashes
 from tallymark.llm.tokenizer_files import tokenizer_path
@@ -321,3 +326,199 @@ def test_secret_scan_of_a_long_text_is_linear(spark, kind):
     assert len(got) == {"keys": 100_000, "hex": 1}.get(kind, 0)
     if kind == "keys":
         assert got == plain_spans(text)
+
+
+@QUIET
+@given(st.integers(0, 10_000), st.integers(1, 90), st.integers(1, 8))
+def test_trees_find_the_best_of_each_window(seed, size, k):
+    rng = np.random.default_rng(seed)
+    points = rng.integers(-4, 5, (size, 5))
+    group, ids = rng.integers(0, 3, size), rng.permutation(size) // 2
+    query, own = rng.integers(-4, 5, 5), int(rng.integers(0, 3))
+    scores = points @ query
+    windows = [(-np.inf, np.inf), (-5, 7), (3, 3), (9, 2)]
+    for same in (True, False):
+        best = [[] for _ in windows]
+        # Two trees, the second with what the first has found.
+        for part in (slice(0, size // 2), slice(size // 2, size)):
+            if len(ids[part]):
+                tree = RTree(points[part].astype(float), group[part], ids[part], leaf=3)
+                tree.search(query.astype(float), own, same, 1, windows, best, k)
+        for (low, high), found in zip(windows, best, strict=True):
+            fits = ((group == own) == same) & (ids != 1) & (scores >= low) & (scores <= high)
+            assert found == sorted(zip((-scores[fits]).tolist(), ids[fits].tolist()))[:k]
+
+
+def test_trees_pass_over_boxes():
+    rng = np.random.default_rng(1)
+    points = np.concatenate([rng.integers(-9, 9, (4000, 4)), rng.integers(90, 99, (50, 4))])
+    tree = RTree(points.astype(float), np.zeros(4050, int), np.arange(4050), leaf=16)
+    best = [[]]
+    read = tree.search(np.ones(4), 0, True, -1, [(-np.inf, np.inf)], best, 5)
+    assert read < 10 < tree.n_leaves and best[0][0][0] == -int(points.sum(axis=1).max())
+
+
+@QUIET
+@given(st.integers(0, 10_000), st.integers(50, 100))
+def test_prefixes_share_the_matches(seed, percent):
+    # Two sets that are similar enough share as many shingles in their prefixes as both need.
+    rng = np.random.default_rng(seed)
+    size, gone, new = rng.integers(1, 60), rng.integers(0, 8), rng.integers(0, 8)
+    a = np.unique(rng.integers(0, 1 << 62, size, dtype=np.uint64) * np.uint64(4))
+    b = np.unique(np.concatenate([a[gone:], rng.integers(0, 1 << 62, new, dtype=np.uint64)]))
+    if not similar(a, b, percent):
+        return
+    small, large = sorted((a, b), key=len)
+    order = {h: (h % 7, h) for h in {*a.tolist(), *b.tolist()}}
+    for matches in range(1, 9):
+        least = min(matches, len(np.intersect1d(a, b)))
+        first = sorted(small.tolist(), key=order.get)[: indexed_length(len(small), matches, percent)]
+        other = sorted(large.tolist(), key=order.get)[: probing_length(len(large), matches, percent)]
+        assert len({*first} & {*other}) >= least
+    counted, others = split_set(a, percent)
+    needed = int(probing_length(len(a), 8, percent))
+    assert len(counted) + len(others) >= min(needed, len(a))
+
+
+def test_prefixes_grow_with_the_cost():
+    rare, common = np.zeros(100), np.full(100, 50)
+    assert adapted_prefix(100, rare) == 1
+    assert adapted_prefix(100, np.concatenate([rare[:14], common])) > 1
+    assert adapted_prefix(1, np.array([9])) == 1
+
+
+@QUIET
+@given(st.integers(0, 10_000), st.booleans(), st.booleans())
+def test_block_links(seed, across, with_prefix):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 99, 30)
+    sets = [
+        np.unique(np.concatenate([rng.choice(base, rng.integers(8, 30)), rng.integers(0, 99, 3)])).astype(np.uint64)
+        for _ in range(25)
+    ]
+    sizes = Overlaps(sets).of(3, np.arange(25))
+    assert sizes.tolist() == [
+        len({*sets[3].tolist()} & {*one.tolist()} & {h for k, o in enumerate(sets) if k != 3 for h in o.tolist()})
+        for one in sets
+    ]
+    block, root = rng.integers(0, 2, 25), np.arange(25)
+    root[4] = 2
+    heads_ = [one[:4] for one in sets] if with_prefix else None
+    needs = rng.integers(1, 3, 25) if with_prefix else None
+
+    def compared(a, b):
+        if across and block[a] == block[b]:
+            return False
+        if with_prefix and len(np.intersect1d(heads_[a], heads_[b])) < min(needs[a], needs[b]):
+            return False
+        return similar(sets[a], sets[b], 60)
+
+    pairs = block_links(sets, root, 60, block if across else None, heads_, needs)
+    every = [(a, b) for a in range(25) for b in range(a) if compared(a, b)] + [(4, 2)]
+    joined = least_labels(25, *np.array([*pairs, (4, 2)]).T)
+    assert np.array_equal(joined, least_labels(25, *np.array(every).T))
+
+
+def test_phrases_are_built_once_for_all_shards(monkeypatch):
+    built = []
+
+    class Counted(Phrases):
+        def __init__(self, *given_):
+            built.append(1)
+            super().__init__(*given_)
+
+    monkeypatch.setattr(decontamination, "Phrases", Counted)
+    decontamination._phrases.cache_clear()
+    words = [f"w{k}" for k in range(4000)]
+    blocks = [
+        tuple((str(k), " ".join(words[k : k + 15]).encode()) for k in range(at, at + 900, 9))
+        for at in (0, 1000, 2000)
+    ]
+    for shard in range(5):
+        texts = [" ".join(words[k : k + 40]).encode() for k in range(shard * 700, shard * 700 + 600, 60)]
+        _, hits, _ = decontamination._scanned(texts, blocks, 10)
+        assert any(hits)
+    assert len(built) == len(blocks)
+
+
+def test_shallow_tree_equals_a_plain_one():
+    rng = np.random.default_rng(2)
+    for size in (1, 2, 9, 30):
+        gradient, weight = rng.normal(size=size), rng.random(size)
+        step = quality_gam._shallow_tree(gradient, weight, 3)
+        parts = [(0, size)]
+
+        def value(a, b):
+            return gradient[a:b].sum() ** 2 / (weight[a:b].sum() + quality_gam.RIDGE)
+
+        while len(parts) < 3:
+            gains = [
+                (value(a, c) + value(c, b) - value(a, b), -a, -c, b)
+                for a, b in parts for c in range(a + 1, b)
+            ]
+            if not gains or max(gains)[0] <= 1e-9:
+                break
+            _, a, c, b = max(gains)
+            parts.remove((-a, b))
+            parts += [(-a, -c), (-c, b)]
+        for a, b in parts:
+            mean = gradient[a:b].sum() / (weight[a:b].sum() + quality_gam.RIDGE)
+            assert np.allclose(step[a:b], mean)
+
+
+def test_pair_tree_equals_a_plain_one():
+    rng = np.random.default_rng(4)
+    for shape in ((1, 1), (1, 5), (4, 3), (6, 7)):
+        gradient, weight = rng.normal(size=shape), rng.random(shape)
+        best = None
+        for row in range(1, shape[0] + 1):
+            for column in range(1, shape[1] + 1):
+                parts = [
+                    (a, b) for a in (slice(0, row), slice(row, None))
+                    for b in (slice(0, column), slice(column, None))
+                ]
+                gain = sum(
+                    gradient[p].sum() ** 2 / (weight[p].sum() + quality_gam.RIDGE) for p in parts
+                )
+                if best is None or gain > best[0] + 1e-12:
+                    best = (gain, parts)
+        step = quality_gam._pair_tree(gradient, weight)
+        for part in best[1]:
+            mean = gradient[part].sum() / (weight[part].sum() + quality_gam.RIDGE)
+            assert np.allclose(step[part], mean)
+
+
+def test_model_scores_like_a_plain_lookup():
+    rng = np.random.default_rng(5)
+    columns = [rng.choice([0.0, 0.5, 1.0, 2.0], 300) for _ in range(4)]
+    model = fit(columns, (columns[0] + columns[1] > 1).astype(float))
+    got = model.score(columns)
+    for row in range(300):
+        total = model.intercept
+        for at in range(4):
+            total += model.points[at][sum(cut <= columns[at][row] for cut in model.cuts[at])]
+        for (a, b), table in zip(model.pairs, model.pair_points, strict=True):
+            cell = [sum(cut <= columns[k][row] for cut in model.pair_cuts[k]) for k in (a, b)]
+            total += table[tuple(cell)]
+        assert abs(got[row] - 1 / (1 + np.exp(-total))) < 1e-12
+    assert isinstance(model, Model)
+
+
+def test_a_rare_value_that_decides_is_learned():
+    rng = np.random.default_rng(6)
+    rare = np.where(rng.random(6000) < 0.01, rng.random(6000), 0.0)
+    columns = [rng.random(6000), rare]
+    labels = np.where(rare > 0, 0.0, 1.0)
+    scores = fit(columns, labels).score(columns)
+    assert scores[rare > 0].max() < 0.3 < 0.9 < scores[rare == 0].min()
+
+
+def test_training_rows_are_those_with_the_least_hashes(spark):
+    ids = spark.range(5000).withColumnRenamed("id", "doc_id")
+    marks = ids.withColumn("mark", F.lit(1))
+    found = quality_gam._least_hashed(ids, marks, 100)
+    assert 100 <= found.count() <= 400
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    some, whole = (frame.orderBy(*order).limit(100).collect() for frame in (found, ids))
+    assert [row["doc_id"] for row in some] == [row["doc_id"] for row in whole]
+    assert quality_gam._least_hashed(ids, marks, 4000).count() == 5000

@@ -7,6 +7,8 @@ from brute import (
     chat,
     contamination,
     crc_of,
+    hard_negatives,
+    jaccard_join,
     line_dedup,
     near_duplicates,
     repeats,
@@ -14,6 +16,7 @@ from brute import (
     secrets,
     sha256,
     token_ids,
+    whitened,
 )
 
 from tallymark.llm.queries import CONTROL_TEXT, QUERIES
@@ -23,7 +26,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 def table(sql, data=DATA):
-    names = ("documents", "benchmark", "labels", "conversations")
+    names = ("documents", "benchmark", "labels", "conversations", "embeddings")
     with duckdb.connect() as connection:
         for name in names:
             connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{data}/{name}.parquet'")
@@ -198,11 +201,40 @@ def test_quality_gam(spark):
     assert right / len(marks) > 0.93
 
 
+def test_jaccard_join(spark, docs):
+    got = rows(spark, "op11_jaccard_join", "doc_id", "n_shingles", "component_id")
+    assert got == sorted(jaccard_join(docs))
+    assert any(row[0] != row[2] for row in got)
+
+
+def test_whitening(spark):
+    vectors = table("SELECT vec_id, embedding FROM embeddings")
+    keys, deviations, scores, shares = whitened(vectors)
+    got = QUERIES["op12_whitening"](spark, DATA).toPandas().set_index(["vec_id", "component"])
+    assert len(got) == 8 * len(keys) and (got["n"] == len(keys)).all()
+    assert (got["identity_error"] < 1e-9).all() and got["identity_error"].nunique() == 1
+    signs = []
+    for at in range(8):
+        one = got.xs(at + 1, level="component").loc[keys]
+        assert one["deviation"].tolist() == deviations
+        assert abs(one["explained"] / shares[at] - 1).max() < 1e-9
+        mine = one["whitened"].to_numpy()
+        signs.append(1 if mine @ scores[:, at] > 0 else -1)
+        assert abs(mine * signs[at] - scores[:, at]).max() < 1e-8
+
+
+def test_hard_negatives(spark):
+    vectors = table("SELECT vec_id, embedding, label FROM embeddings")
+    vectors = [(k, v, (label + 1) % 10 if k % 7 == 0 else label) for k, v, label in vectors]
+    columns = "anchor_id positive_id rank negative_id positive_score negative_score".split()
+    assert rows(spark, "op13_hard_negatives", *columns) == hard_negatives(vectors)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_its_sql(spark, name):
     data = "/root/testdata/sf0.01"
     with duckdb.connect() as connection:
-        for one in ("documents", "benchmark", "labels", "conversations"):
+        for one in ("documents", "benchmark", "labels", "conversations", "embeddings"):
             connection.execute(f"CREATE VIEW {one} AS SELECT * FROM '{data}/{one}.parquet'")
         expected = connection.execute(ORACLE_SQL[name]).df()
     got = QUERIES[name](spark, data).toPandas()[list(expected.columns)]
