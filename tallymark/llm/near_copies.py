@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallymark.functions import quoted
 from tallymark.llm.common import encoded, stored
-from tallymark.llm.similar_sets import linked
+from tallymark.llm.similar_sets import chosen_sets, linked
 from tallymark.llm.substring_dedup import WindowHashes, word_hashes
 
 SHINGLE_WORDS = 5
@@ -77,27 +77,6 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
 
 
-def _sets(texts: DataFrame) -> DataFrame:
-    """Return the set of each text as ``linked`` takes it."""
-
-    def hashed(batches):
-        for batch in batches:
-            sets = [shingle_hashes(text) for text in encoded(batch, "text")]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("content"),
-                    pa.array([len(one) for one in sets], pa.int32()),
-                    pa.array([one.tobytes() for one in sets], pa.binary()),
-                    pa.nulls(len(sets), pa.int32()),
-                    pa.nulls(len(sets), pa.binary()),
-                ],
-                names=["node", "size", "hashes", "needs", "prefix"],
-            )
-
-    kinds = "node long, size int, hashes binary, needs int, prefix binary"
-    return texts.select("content", "text").mapInArrow(hashed, kinds)
-
-
 def near_copies(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id") -> DataFrame:
     """Return ``content`` and ``root`` of all contents that are near copies of a lesser one.
 
@@ -108,10 +87,9 @@ def near_copies(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id") ->
     share no band; every pair that does is compared.
 
     Null and empty texts are one content; texts without words are near copies of each other.
-    Whole texts are read, however long; their sets go to the tasks that compare them only if
-    they share a band with another text. Copies count once: a task keeps one row for each
-    content, and ``key`` names the row whose text is taken, so that copies do not meet in one
-    task. Rows with a null key or a repeated one are like all others. Other columns of ``docs``
+    Whole texts are read, however long; sets go to the tasks that compare them only where they
+    share a band with another. Copies count once: a task keeps one row for each content, and
+    ``key`` names the row whose text is taken, so that copies do not meet in one task. Rows with a null key or a repeated one are like all others. Other columns of ``docs``
     are not looked at, whatever their names. An empty table gives no rows.
     """
 
@@ -137,9 +115,9 @@ def near_copies(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id") ->
     several = stored(several.where("low < high").select("key"), "near-copy-shared-bands")
     buckets = stored(buckets.join(several, "key", "left_semi"), "near-copy-buckets")
     shared = buckets.select(F.col("node").alias("content")).distinct()
-    rows = texts.groupBy("content").agg(F.min("row").alias("of_row"))
-    wanted = rows.join(shared, "content").withColumnRenamed("content", "of_content")
-    wanted = stored(wanted, "near-copy-rows")
-    same = (F.col("content") == F.col("of_content")) & F.col("row").eqNullSafe(F.col("of_row"))
-    chosen = texts.join(wanted, same, "left_semi").dropDuplicates(["content", "row"])
-    return linked(buckets, stored(_sets(chosen), "near-copy-sets"), percent).toDF("content", "root")
+    rows = texts.groupBy("content").agg(F.min("row").alias("row"))
+    wanted = stored(rows.join(shared, "content"), "near-copy-rows")
+    sets = chosen_sets(texts, wanted, shingle_hashes).select(
+        "*", F.lit(None).cast("int").alias("needs"), F.lit(None).cast("binary").alias("prefix")
+    )
+    return linked(buckets, stored(sets, "near-copy-sets"), percent).toDF("content", "root")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallymark.llm.common import encoded, stored
 from tallymark.llm.near_copies import content_of
-from tallymark.llm.similar_sets import linked
+from tallymark.llm.similar_sets import chosen_sets, linked
 from tallymark.llm.substring_dedup import WindowHashes, word_hashes
 
 SHINGLE_WORDS = 4
@@ -129,24 +129,6 @@ def _frames(texts: DataFrame, size: int, percent: int) -> DataFrame:
     return texts.select("content", "text").mapInArrow(framed, kinds)
 
 
-def _sets(texts: DataFrame, size: int) -> DataFrame:
-    """Return ``node``, its ``hashes`` and their number ``size``."""
-
-    def hashed(batches):
-        for batch in batches:
-            sets = [shingle_set(text, size) for text in encoded(batch, "text")]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("content"),
-                    pa.array([len(one) for one in sets], pa.int32()),
-                    pa.array([one.tobytes() for one in sets], pa.binary()),
-                ],
-                names=["node", "size", "hashes"],
-            )
-
-    return texts.select("content", "text").mapInArrow(hashed, "node long, size int, hashes binary")
-
-
 def jaccard_join(
     docs: DataFrame, percent: int = PERCENT, shingle_words: int = SHINGLE_WORDS
 ) -> DataFrame:
@@ -167,11 +149,11 @@ def jaccard_join(
     or null if there is none. Other columns are not looked at. An empty table gives no rows.
     """
     texts = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("doc_id").cast("long").alias("row"),
         content_of().alias("content"),
         F.col("text").cast("string").alias("text"),
     )
-    named = stored(texts.select("doc_id", "content"), "join-contents")
+    named = stored(texts.select(F.col("row").alias("doc_id"), "content"), "join-contents")
     least = named.groupBy("content").agg(F.min("doc_id").alias("least_id"))
     least = stored(least, "join-least-ids")
     frames = _frames(texts, shingle_words, percent).where("size > 0")
@@ -189,13 +171,10 @@ def jaccard_join(
     buckets = stored(
         keys.select("key", "node", (F.col("at") < F.col("n_own")).alias("own")), "prefix-buckets"
     )
-    # The text of one row for each content: rows move by id and content, so copies stay apart.
     wanted = prefixes.select(F.col("node").alias("content")).join(least, "content")
-    wanted = stored(wanted.toDF("of_content", "of_id"), "wanted-texts")
-    same = (F.col("content") == F.col("of_content")) & F.col("doc_id").eqNullSafe(F.col("of_id"))
-    chosen = texts.join(wanted, same, "left_semi").dropDuplicates(["content", "doc_id"])
-    prefix = F.col("keys").alias("prefix")
-    sets = _sets(chosen, shingle_words).join(prefixes.select("node", "needs", prefix), "node")
+    wanted = stored(wanted.withColumnRenamed("least_id", "row"), "wanted-texts")
+    sets = chosen_sets(texts, wanted, lambda text: shingle_set(text, shingle_words))
+    sets = sets.join(prefixes.select("node", "needs", F.col("keys").alias("prefix")), "node")
     roots = linked(buckets, stored(_with_bytes(sets), "shingle-sets"), percent)
     nodes = frames.select("content", "size").join(least, "content")
     nodes = nodes.join(roots, F.col("content") == F.col("node"), "left")

@@ -5,11 +5,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallymark.llm.bk_tree import heads
-from tallymark.llm.common import runs_of, sorted_groups, stored
+from tallymark.llm.common import encoded, runs_of, sorted_groups, stored
 from tallymark.llm.components import components
 
 # A task compares two blocks of about so many bytes of hashes at once.
 BLOCK_BYTES = 8_000_000
+# What all tasks get to pass over texts that are not wanted: so many bits, whatever the input.
+FILTER_BITS = 1 << 24
 _HASHES_AT_ONCE = 2_000_000
 _ROWS_AT_ONCE = 2_000
 
@@ -87,6 +89,53 @@ def _from_bytes(column) -> list[np.ndarray]:
     return [np.frombuffer(one, dtype=np.uint64) for one in column.to_pylist()]
 
 
+def _filter_words(wanted: DataFrame) -> np.ndarray:
+    """Return a bit for each remainder of the wanted contents, in words of 32 bits."""
+    bit = F.pmod("content", F.lit(FILTER_BITS)).cast("int")
+    words = wanted.select(bit.alias("bit")).groupBy(F.expr("bit div 32").alias("word"))
+    found = words.agg(F.bit_or(F.expr("shiftleft(1L, bit % 32)")).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
+    return out
+
+
+def chosen_sets(texts: DataFrame, wanted: DataFrame, hashed) -> DataFrame:
+    """Return ``node``, ``size`` and ``hashes``, what ``hashed`` gives for each wanted text.
+
+    ``texts`` has ``row``, ``content`` and ``text``; ``wanted``, which is stored, the ``content``
+    and ``row`` of one row for each text. Texts stay where they are. Most that are not wanted are
+    passed over by a filter of ``FILTER_BITS`` bits, which goes to all tasks; the sets of the
+    others are joined with the wanted rows, so that nothing depends on how full the filter is.
+    Rows move by content and row, so that copies do not meet in one task.
+    """
+    words = texts.sparkSession.sparkContext.broadcast(_filter_words(wanted))
+
+    def emitted(batches):
+        for batch in batches:
+            bit = np.mod(batch.column("content").to_numpy(), FILTER_BITS)
+            some = (words.value[bit // 32] >> (bit % 32).astype(np.uint32)) & 1 > 0
+            kept = batch.filter(pa.array(some))
+            sets = [hashed(text) for text in encoded(kept, "text")]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    kept.column("row"),
+                    kept.column("content"),
+                    pa.array([len(one) for one in sets], pa.int32()),
+                    pa.array([one.tobytes() for one in sets], pa.binary()),
+                ],
+                names=["row", "node", "size", "hashes"],
+            )
+
+    kind = texts.schema["row"].dataType.simpleString()
+    sets = texts.select("row", "content", "text").mapInArrow(
+        emitted, f"row {kind}, node long, size int, hashes binary"
+    )
+    wanted = wanted.select(F.col("content").alias("of_content"), F.col("row").alias("of_row"))
+    same = (F.col("node") == F.col("of_content")) & F.col("row").eqNullSafe(F.col("of_row"))
+    sets = sets.join(wanted, same, "left_semi").dropDuplicates(["node", "row"])
+    return sets.select("node", "size", "hashes")
+
+
 def linked(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Return ``node`` and ``root`` of all nodes that links join with a lesser one.
 
