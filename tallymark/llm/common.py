@@ -84,6 +84,13 @@ def encoded(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [text or b"" for text in column.cast(kind).to_pylist()]
 
 
+def in_parts(batches, rows: int = 1000):
+    """Yield the batches in parts of up to ``rows`` rows, to bound what is made of one at once."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def runs_of(lengths: np.ndarray) -> np.ndarray:
     """Return 0, 1, ... within each run of the given lengths, one after the other."""
     ends = np.cumsum(lengths)

@@ -6,9 +6,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallymark.functions import quoted
-from tallymark.llm.common import encoded, stored
+from tallymark.llm import text_hashes
+from tallymark.llm.common import encoded, in_parts, stored
 from tallymark.llm.similar_sets import chosen_sets, linked
-from tallymark.llm.substring_dedup import WindowHashes, word_hashes
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -48,12 +48,8 @@ def shingle_hashes(text: bytes, size: int = SHINGLE_WORDS) -> np.ndarray:
 
     Words are runs of anything but ASCII white space; a text of fewer words is one shingle.
     """
-    words = text.lower().split()
-    if not words:
-        return np.zeros(1, dtype=np.uint64)
-    size = min(size, len(words))
-    hashes = WindowHashes(word_hashes(words)).at(np.arange(len(words) - size + 1), size)
-    return np.unique(hashes.view(np.uint64))
+    hashes = text_hashes.shingle_hashes(text, size)
+    return hashes if len(hashes) else np.zeros(1, dtype=np.uint64)
 
 
 def min_hashes(hashes: np.ndarray) -> np.ndarray:
@@ -94,7 +90,7 @@ def near_copies(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id") ->
     """
 
     def banded(batches):
-        for batch in batches:
+        for batch in in_parts(batches):
             keys = [band_keys(shingle_hashes(text)) for text in encoded(batch, "text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("content"), pa.array(keys, pa.list_(pa.int64()))],

@@ -10,10 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallymark.llm.common import encoded, stored
+from tallymark.llm.common import encoded, in_parts, stored
 from tallymark.llm.near_copies import content_of
 from tallymark.llm.similar_sets import chosen_sets, linked
-from tallymark.llm.substring_dedup import WindowHashes, word_hashes
+from tallymark.llm.text_hashes import shingle_hashes
 
 SHINGLE_WORDS = 4
 PERCENT = 85
@@ -24,20 +24,6 @@ CHECK_COST = 8.0
 COUNTED_OF = 4
 
 
-def shingle_set(text: bytes, size: int = SHINGLE_WORDS) -> np.ndarray:
-    """Return the sorted 64-bit hashes of the runs of ``size`` words, A-Z in lower case.
-
-    Words are runs of anything but ASCII white space; a text of fewer words, but not none, is
-    one shingle.
-    """
-    words = text.lower().split()
-    size = min(size, len(words))
-    if not size:
-        return np.empty(0, dtype=np.uint64)
-    hashes = WindowHashes(word_hashes(words)).at(np.arange(len(words) - size + 1), size)
-    return np.unique(hashes.view(np.uint64))
-
-
 def probing_length(size, matches, percent: int = PERCENT):
     """Return the prefix that shares ``matches`` shingles with any similar set not larger."""
     return np.minimum(size, size - -(-percent * size // 100) + matches)
@@ -75,7 +61,7 @@ def _prefixes(framed: DataFrame, percent: int) -> DataFrame:
     """
 
     def adapted(batches):
-        for batch in batches:
+        for batch in in_parts(batches):
             rows = []
             columns = ("content", "size", "counted", "others", "shared", "n")
             for node, size, counted, others, shared, n in zip(
@@ -112,10 +98,10 @@ def _frames(texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Return ``content``, the ``size`` of its set, and its ``counted`` and ``others``."""
 
     def framed(batches):
-        for batch in batches:
+        for batch in in_parts(batches):
             sizes, parts = [], ([], [])
             for text in encoded(batch, "text"):
-                hashes = shingle_set(text, size)
+                hashes = shingle_hashes(text, size)
                 sizes.append(len(hashes))
                 for part, chosen in zip(parts, split_set(hashes, percent), strict=True):
                     part.append(chosen.view(np.int64))
@@ -173,7 +159,7 @@ def jaccard_join(
     )
     wanted = prefixes.select(F.col("node").alias("content")).join(least, "content")
     wanted = stored(wanted.withColumnRenamed("least_id", "row"), "wanted-texts")
-    sets = chosen_sets(texts, wanted, lambda text: shingle_set(text, shingle_words))
+    sets = chosen_sets(texts, wanted, lambda text: shingle_hashes(text, shingle_words))
     sets = sets.join(prefixes.select("node", "needs", F.col("keys").alias("prefix")), "node")
     roots = linked(buckets, stored(_with_bytes(sets), "shingle-sets"), percent)
     nodes = frames.select("content", "size").join(least, "content")
@@ -198,7 +184,7 @@ def _with_bytes(sets: DataFrame) -> DataFrame:
     """Turn the ``prefix`` of each set into bytes, as ``hashes`` are."""
 
     def packed(batches):
-        for batch in batches:
+        for batch in in_parts(batches):
             lists = [np.array(one, np.int64).tobytes() for one in batch.column("prefix").to_pylist()]
             at = batch.schema.get_field_index("prefix")
             yield batch.set_column(at, "prefix", pa.array(lists, pa.binary()))

@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallymark.llm.bk_tree import heads
-from tallymark.llm.common import encoded, runs_of, sorted_groups, stored
+from tallymark.llm.common import encoded, in_parts, runs_of, sorted_groups, stored
 from tallymark.llm.components import components
 
 # A task compares two blocks of about so many bytes of hashes at once.
@@ -111,8 +111,8 @@ def chosen_sets(texts: DataFrame, wanted: DataFrame, hashed) -> DataFrame:
     words = texts.sparkSession.sparkContext.broadcast(_filter_words(wanted))
 
     def emitted(batches):
-        for batch in batches:
-            bit = np.mod(batch.column("content").to_numpy(), FILTER_BITS)
+        for batch in in_parts(batches):
+            bit = np.mod(batch.column("content").to_numpy(), 32 * len(words.value))
             some = (words.value[bit // 32] >> (bit % 32).astype(np.uint32)) & 1 > 0
             kept = batch.filter(pa.array(some))
             sets = [hashed(text) for text in encoded(kept, "text")]
@@ -154,7 +154,7 @@ def linked(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
 
     def checked(batches):
-        for batch in batches:
+        for batch in in_parts(batches):
             both = zip(*(_from_bytes(batch.column(name)) for name in ("left", "right")), strict=True)
             near = pa.array([similar(a, b, percent) for a, b in both], pa.bool_())
             yield batch.select(["a", "b"]).filter(near)

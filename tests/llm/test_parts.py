@@ -29,6 +29,8 @@ from tallymark.llm.secrets import RULES, scan
 from tallymark.llm.similar_sets import Overlaps, block_links, similar
 from tallymark.llm.simhash import fingerprint, near_links, shard_masks
 from tallymark.llm.substring_dedup import COVERS, WindowHashes, anchor_places, cover_of, word_hashes
+from tallymark.llm import text_hashes
+from tallymark.llm.text_hashes import folded_word_hashes
 from tallymark.llm.tokenizer_files import tokenizer_path
 from tallymark.llm.tokens import PieceEncoder
 
@@ -522,3 +524,19 @@ def test_training_rows_are_those_with_the_least_hashes(spark):
     some, whole = (frame.orderBy(*order).limit(100).collect() for frame in (found, ids))
     assert [row["doc_id"] for row in some] == [row["doc_id"] for row in whole]
     assert quality_gam._least_hashed(ids, marks, 4000).count() == 5000
+
+
+@QUIET
+@given(st.text(alphabet="aAbB\u00e9\u00c9 \t\x0b\x0c\r\n.", max_size=80), st.integers(1, 40))
+def test_word_hashes_tell_words_apart(text, part):
+    data, before = text.encode(), text_hashes._PART_BYTES
+    words = data.lower().split()
+    whole = folded_word_hashes(data).tolist()
+    text_hashes._PART_BYTES = part
+    try:
+        assert folded_word_hashes(data).tolist() == whole
+    finally:
+        text_hashes._PART_BYTES = before
+    assert len(whole) == len(words)
+    assert len(dict(zip(words, whole))) == len(set(words)) == len(set(whole))
+    assert all(folded_word_hashes(word).tolist() == [one] for word, one in zip(words, whole))
