@@ -13,7 +13,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tallymark.llm.common import encoded, runs_of, stored
+from tallymark.llm.common import encoded, in_parts, runs_of, stored
 
 WINDOW_WORDS = 50
 # Perfect difference sets, by period.
@@ -88,32 +88,35 @@ def anchor_places(n_words: int, window: int) -> np.ndarray:
 
 
 def _anchors(docs: DataFrame, window: int) -> DataFrame:
-    """Return ``anchor``, ``content``, ``doc_id`` and ``place`` of every anchor."""
+    """Return ``doc_id``, ``content`` and ``anchors``, the hashes at all places in order.
+
+    Texts without an anchor are left out.
+    """
     size = window - cover_of(window)[0] + 1
 
     def emitted(batches):
-        for batch in batches:
-            row, places, anchors = [], [], []
-            for at, text in enumerate(encoded(batch, "text")):
+        for batch in in_parts(batches):
+            anchors = []
+            for text in encoded(batch, "text"):
                 words = text.split()
                 place = anchor_places(len(words), window)
-                if len(place):
-                    anchors.append(WindowHashes(word_hashes(words)).at(place, size))
-                    places.append(place.astype(np.int32))
-                    row.append(np.full(len(place), at, dtype=np.int32))
-            if row:
-                row = pa.array(np.concatenate(row))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(anchors)),
-                        batch.column("content").take(row),
-                        batch.column("doc_id").take(row),
-                        pa.array(np.concatenate(places)),
-                    ],
-                    names=["anchor", "content", "doc_id", "place"],
-                )
+                some = len(place) > 0
+                anchors.append(WindowHashes(word_hashes(words)).at(place, size) if some else None)
+            found = pa.array(anchors, pa.list_(pa.int64()))
+            columns = [batch.column("doc_id"), batch.column("content"), found]
+            whole = pa.RecordBatch.from_arrays(columns, names=["doc_id", "content", "anchors"])
+            yield whole.filter(found.is_valid())
 
-    return docs.mapInArrow(emitted, "anchor long, content long, doc_id long, place int")
+    return docs.mapInArrow(emitted, "doc_id long, content long, anchors array<long>")
+
+
+def _each_anchor(anchors: DataFrame, window: int) -> DataFrame:
+    """Return ``anchor``, ``content``, ``doc_id`` and ``place`` of every anchor of ``_anchors``."""
+    period, cover = cover_of(window)
+    each = anchors.select("content", "doc_id", F.posexplode("anchors").alias("at", "anchor"))
+    offset = f"array({', '.join(map(str, cover))})[at % {len(cover)}]"
+    place = F.expr(f"CAST(at div {len(cover)} * {period} + {offset} AS INT)")
+    return each.select("anchor", "content", "doc_id", place.alias("place"))
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -237,7 +240,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     copies = ranked.where("doc_id > least").select(*key).distinct()
 
     # Equal texts have one content, so groups of copies share no anchor among themselves.
-    anchors = _anchors(named, window)
+    # The anchors are read twice, so they are stored: a hash for each, as a place follows from it.
+    anchors = _each_anchor(stored(_anchors(named, window), "anchors"), window)
     shared = anchors.groupBy("anchor").agg(F.min("content").alias("lo"), F.max("content").alias("hi"))
     shared = stored(shared.where("lo <> hi").select("anchor"), "anchors-of-several")
     at = anchors.join(shared, "anchor", "left_semi").groupBy(*key)

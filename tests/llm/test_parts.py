@@ -28,6 +28,7 @@ from tallymark.llm.records import frame, unframe
 from tallymark.llm.secrets import RULES, scan
 from tallymark.llm.similar_sets import Overlaps, block_links, similar
 from tallymark.llm.simhash import fingerprint, near_links, shard_masks
+from tallymark.llm import substring_dedup
 from tallymark.llm.substring_dedup import COVERS, WindowHashes, anchor_places, cover_of, word_hashes
 from tallymark.llm import text_hashes
 from tallymark.llm.text_hashes import folded_word_hashes
@@ -185,6 +186,22 @@ def test_equal_windows_share_an_aligned_anchor(window):
             assert any(offset + size <= window for offset in offsets[0] & offsets[1])
 
 
+@pytest.mark.parametrize("window", [50, 12, 1])
+def test_each_anchor_has_its_place(spark, window):
+    size = window - cover_of(window)[0] + 1
+    texts = {k: " ".join(f"w{(7 * k + j) % 13}" for j in range(k)) for k in [0, 1, 11, 49, 50, 51, 99, 300]}
+    docs = spark.createDataFrame([(k, -k, t) for k, t in texts.items()], "doc_id long, content long, text string")
+    each = substring_dedup._each_anchor(substring_dedup._anchors(docs, window), window)
+    got = {(row["doc_id"], row["content"], row["place"], row["anchor"]) for row in each.collect()}
+    want = set()
+    for k, text in texts.items():
+        places = anchor_places(k, window)
+        if len(places):
+            found = WindowHashes(word_hashes(text.encode().split())).at(places, size)
+            want |= {(k, -k, p, h) for p, h in zip(places.tolist(), found.tolist(), strict=True)}
+    assert got == want
+
+
 def test_window_hashes_depend_on_the_words_alone():
     words = [str(random.Random(3).randrange(5)).encode() for _ in range(10)] + [b"a", b"b", b"a"] * 40
     hashes = WindowHashes(word_hashes(words)).at(np.arange(len(words) - 4), 5)
