@@ -85,8 +85,9 @@ def near_copies(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id") ->
     Null and empty texts are one content; texts without words are near copies of each other.
     Whole texts are read, however long; sets go to the tasks that compare them only where they
     share a band with another. Copies count once: a task keeps one row for each content, and
-    ``key`` names the row whose text is taken, so that copies do not meet in one task. Rows with a null key or a repeated one are like all others. Other columns of ``docs``
-    are not looked at, whatever their names. An empty table gives no rows.
+    ``key`` names the row whose text is taken, so that copies do not meet in one task. Rows with
+    a null key or a repeated one are like all others. Other columns of ``docs`` are not looked
+    at, whatever their names. An empty table gives no rows.
     """
 
     def banded(batches):

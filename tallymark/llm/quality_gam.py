@@ -2,8 +2,9 @@
 
 Each feature of a text is cut into bins, and shallow trees boosted on one feature at a time, in
 turns over all features, add up to one table of points per feature. Then pairs of features get
-tables in the same way, by trees that cut once along each of the two. A score is the logistic of the intercept plus the points of the bins,
-so scoring is a lookup and an addition per table, on whole columns.
+tables in the same way, by trees that cut once along each of the two. A score is the logistic of
+the intercept plus the points of the bins, so scoring is a lookup and an addition per table, on
+whole columns.
 """
 
 import zlib
