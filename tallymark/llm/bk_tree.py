@@ -60,13 +60,16 @@ def build(group: np.ndarray, prints: np.ndarray, is_node: np.ndarray | None = No
     return Forest(prints, root, edge[order], child[order])
 
 
-def links(forest: Forest, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def links(
+    forest: Forest, queries: np.ndarray, radius: int, every: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
     """Return pairs (query, node) that join all fingerprints within the radius of each other.
 
     Every pair is within the radius, and two fingerprints of a tree within it are joined by
     such pairs, once all of the tree have been queries. A node that is near the query stands
     for all below its edges up to the radius, for these are near the node; so a dense ball
-    costs each query one pair, not one for each member.
+    costs each query one pair, not one for each member. With ``every``, all pairs within the
+    radius are returned, for a check that drops some of them.
     """
     left, right = [], []
     query, node = queries, forest.root[queries]
@@ -76,7 +79,7 @@ def links(forest: Forest, queries: np.ndarray, radius: int) -> tuple[np.ndarray,
         other = near & (query != node)
         left.append(query[other])
         right.append(node[other])
-        least = np.where(near, radius + 1, distance - radius)
+        least = np.where(near, 1 if every else radius + 1, distance - radius)
         begin = np.searchsorted(forest.edge, node * _LABELS + least)
         end = np.searchsorted(
             forest.edge, node * _LABELS + np.minimum(distance + radius, _LABELS - 1), side="right"

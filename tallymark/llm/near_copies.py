@@ -1,4 +1,8 @@
-"""Near copies: texts whose sets of word shingles have a Jaccard similarity of 0.8 or more."""
+"""Near copies: texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
+
+They are found by SimHash: fingerprints of the sets, in shards with a BK-tree each. Pairs within
+the radius are then checked on the sets.
+"""
 
 import numpy as np
 import pyarrow as pa
@@ -9,9 +13,13 @@ from tallymark.functions import quoted
 from tallymark.llm import text_hashes
 from tallymark.llm.common import encoded, in_parts, stored
 from tallymark.llm.similar_sets import chosen_sets, linked
+from tallymark.llm.simhash import set_fingerprint
 
 SHINGLE_WORDS = 5
 PERCENT = 80
+# Fingerprints of sets of a similarity of 0.8 differ in 10 of 64 bits, and in over 28 for 1 of
+# 100 million pairs of large sets, 1 of a million of the smallest (4 shingles of 5).
+RADIUS = 28
 BANDS = 24
 BAND_HASHES = 4
 _SHINGLES_AT_ONCE = 4096
@@ -76,11 +84,12 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 def near_copies(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id") -> DataFrame:
     """Return ``content`` and ``root`` of all contents that are near copies of a lesser one.
 
-    Contents are the hashes of ``content_of``. Linked are those whose texts share a MinHash band
-    and have a Jaccard similarity of at least ``percent`` over 5-word shingles, by comparing the
-    sets of 64-bit hashes; see ``linked`` for the cost of large families. ``root`` is the least
-    content that links reach, over any steps. At a similarity of 0.8 about 3 of a million pairs
-    share no band; every pair that does is compared.
+    Contents are the hashes of ``content_of``. Each set of 5-word shingles has a SimHash
+    fingerprint; texts that share a MinHash band are a shard. The BK-tree of a shard is searched
+    for all pairs of fingerprints within ``RADIUS`` bits, and those pairs are linked whose sets
+    of 64-bit hashes have a Jaccard similarity of at least ``percent``; see ``linked`` for the
+    cost of large families. ``root`` is the least content that links reach, over any steps. At a
+    similarity of 0.8 about 3 of a million pairs share no shard.
 
     Null and empty texts are one content; texts without words are near copies of each other.
     Whole texts are read, however long; sets go to the tasks that compare them only where they
@@ -114,7 +123,8 @@ def near_copies(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id") ->
     shared = buckets.select(F.col("node").alias("content")).distinct()
     rows = texts.groupBy("content").agg(F.min("row").alias("row"))
     wanted = stored(rows.join(shared, "content"), "near-copy-rows")
-    sets = chosen_sets(texts, wanted, shingle_hashes).select(
+    sets = chosen_sets(texts, wanted, shingle_hashes, set_fingerprint).select(
         "*", F.lit(None).cast("int").alias("needs"), F.lit(None).cast("binary").alias("prefix")
     )
-    return linked(buckets, stored(sets, "near-copy-sets"), percent).toDF("content", "root")
+    roots = linked(buckets, stored(sets, "near-copy-sets"), percent, RADIUS)
+    return roots.toDF("content", "root")

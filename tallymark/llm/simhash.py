@@ -36,17 +36,32 @@ def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
     ends = np.cumsum([len(word) + 1 for word in words])
     begins = [0, *ends[:-shingle_words].tolist()]
     ends = (ends[min(shingle_words, len(words)) - 1 :] - 1).tolist()
+
+    def hashed():
+        for at in range(0, len(ends), _SHINGLES_AT_ONCE):
+            some = slice(at, at + _SHINGLES_AT_ONCE)
+            pairs = zip(begins[some], ends[some], strict=True)
+            yield np.array([digest(line[a:b], HASH_SEED) for a, b in pairs], dtype="<u8")
+
+    return majority(hashed(), len(ends))
+
+
+def majority(parts, n_hashes: int) -> int:
+    """Return the number whose bits are set in over half of the hashes, which come in parts."""
     counts = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(ends), _SHINGLES_AT_ONCE):
-        some = slice(at, at + _SHINGLES_AT_ONCE)
-        pairs = zip(begins[some], ends[some], strict=True)
-        hashes = np.array([digest(line[a:b], HASH_SEED) for a, b in pairs], dtype="<u8")
+    for hashes in parts:
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
-    ones = np.packbits(2 * counts > len(ends), bitorder="little")
+    ones = np.packbits(2 * counts > n_hashes, bitorder="little")
     return int(ones.view("<u8")[0])
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """Return the SimHash of a set of 64-bit hashes, each of which counts once."""
+    cuts = range(0, len(hashes), _SHINGLES_AT_ONCE)
+    return majority((hashes[at : at + _SHINGLES_AT_ONCE] for at in cuts), len(hashes))
+
+
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """Return ``doc_id``, ``content`` and ``print`` for every row.
 

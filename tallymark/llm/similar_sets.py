@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallymark.llm.bk_tree import heads
+from tallymark.llm.bk_tree import build, heads, links
 from tallymark.llm.common import encoded, in_parts, runs_of, sorted_groups, stored
 from tallymark.llm.components import components
 
@@ -14,6 +14,7 @@ BLOCK_BYTES = 8_000_000
 FILTER_BITS = 1 << 24
 _HASHES_AT_ONCE = 2_000_000
 _ROWS_AT_ONCE = 2_000
+_PAIRS_AT_ONCE = 2_000_000
 
 
 def similar(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
@@ -52,23 +53,44 @@ class Overlaps:
         return out
 
 
-def block_links(sets, root, percent: int, block=None, prefixes=None, needs=None):
+def near_prints(prints: np.ndarray, radius: int):
+    """Yield for each fingerprint which of all lie within the radius, found in one BK-tree."""
+    distinct, at = np.unique(prints, return_inverse=True)
+    forest = build(np.zeros(len(distinct), dtype=np.int64), distinct)
+    step = max(1, _PAIRS_AT_ONCE // len(distinct))
+    for begin in range(0, len(prints), step):
+        queries, row = np.unique(at[begin : begin + step], return_inverse=True)
+        left, right = links(forest, queries, radius, every=True)
+        near = np.zeros((len(queries), len(distinct)), dtype=bool)
+        near[np.searchsorted(queries, left), right] = True
+        near[np.arange(len(queries)), queries] = True
+        for one in row:
+            yield near[one][at]
+
+
+def block_links(
+    sets, root, percent: int, block=None, prefixes=None, needs=None, prints=None, radius=None
+):
     """Return pairs of places that join all similar sets among ``sets``, given their ``root``.
 
     Sets of one root are joined already. If ``block`` is given, only sets of different blocks are
     compared. With ``prefixes``, two sets are compared only if these share at least the lesser
-    of the two ``needs``. Each set is compared with all that are not joined with it by then.
+    of the two ``needs``; with ``prints``, only if a search of their BK-tree finds these within
+    the ``radius``. Each set is compared with all that are not joined with it by then.
     """
     sizes = np.array([len(one) for one in sets], dtype=np.int64)
     label = np.unique(root, return_inverse=True)[1]
     whole = Overlaps(sets)
     ahead = None if prefixes is None else Overlaps(prefixes)
+    within = None if prints is None or not len(sets) else near_prints(prints, radius)
     pairs = []
     for at in range(len(sets) - 1):
         later = slice(at + 1, None)
         fits = label[later] != label[at]
         if block is not None:
             fits &= block[later] != block[at]
+        if within is not None:
+            fits &= next(within)[later]
         least, most = (f(sizes[later], sizes[at]) for f in (np.minimum, np.maximum))
         fits &= 100 * least >= percent * most
         others = np.flatnonzero(fits) + at + 1
@@ -99,9 +121,10 @@ def _filter_words(wanted: DataFrame) -> np.ndarray:
     return out
 
 
-def chosen_sets(texts: DataFrame, wanted: DataFrame, hashed) -> DataFrame:
+def chosen_sets(texts: DataFrame, wanted: DataFrame, hashed, printed=None) -> DataFrame:
     """Return ``node``, ``size`` and ``hashes``, what ``hashed`` gives for each wanted text.
 
+    ``print`` is what ``printed`` gives for the hashes, an unsigned number, or else null.
     ``texts`` has ``row``, ``content`` and ``text``; ``wanted``, which is stored, the ``content``
     and ``row`` of one row for each text. Texts stay where they are. Most that are not wanted are
     passed over by a filter of ``FILTER_BITS`` bits, which goes to all tasks; the sets of the
@@ -116,27 +139,48 @@ def chosen_sets(texts: DataFrame, wanted: DataFrame, hashed) -> DataFrame:
             some = (words.value[bit // 32] >> (bit % 32).astype(np.uint32)) & 1 > 0
             kept = batch.filter(pa.array(some))
             sets = [hashed(text) for text in encoded(kept, "text")]
+            prints = pa.nulls(len(sets), pa.int64())
+            if printed is not None:
+                prints = pa.array(np.array([*map(printed, sets)], np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
                     kept.column("row"),
                     kept.column("content"),
                     pa.array([len(one) for one in sets], pa.int32()),
                     pa.array([one.tobytes() for one in sets], pa.binary()),
+                    prints,
                 ],
-                names=["row", "node", "size", "hashes"],
+                names=["row", "node", "size", "hashes", "print"],
             )
 
     kind = texts.schema["row"].dataType.simpleString()
     sets = texts.select("row", "content", "text").mapInArrow(
-        emitted, f"row {kind}, node long, size int, hashes binary"
+        emitted, f"row {kind}, node long, size int, hashes binary, print long"
     )
     wanted = wanted.select(F.col("content").alias("of_content"), F.col("row").alias("of_row"))
     same = (F.col("node") == F.col("of_content")) & F.col("row").eqNullSafe(F.col("of_row"))
     sets = sets.join(wanted, same, "left_semi").dropDuplicates(["node", "row"])
-    return sets.select("node", "size", "hashes")
+    return sets.select("node", "size", "hashes", "print")
+
+
+def _within(pairs: DataFrame, sets: DataFrame, percent: int, radius: int | None) -> DataFrame:
+    """Return the pairs ``a``, ``b`` whose fingerprints and sizes allow a link.
+
+    A pivot is the root of the tree of its bucket: these are the distances from the root.
+    """
+    if radius is None:
+        return pairs
+    for name in ("a", "b"):
+        side = sets.select("node", "size", "print").toDF(name, f"size_{name}", f"print_{name}")
+        pairs = pairs.join(side, name)
+    sizes = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+    near = F.bit_count(F.col("print_a").bitwiseXOR(F.col("print_b"))) <= radius
+    return pairs.where(near & (100 * sizes[0] >= percent * sizes[1])).select("a", "b")
 
 
-def linked(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def linked(
+    buckets: DataFrame, sets: DataFrame, percent: int, radius: int | None = None
+) -> DataFrame:
     """Return ``node`` and ``root`` of all nodes that links join with a lesser one.
 
     ``buckets`` has ``key``, ``node`` and ``own``, and is stored; ``sets`` has the ``hashes`` of
@@ -145,6 +189,8 @@ def linked(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     them its ``own``, whose sets have a Jaccard similarity of at least ``percent``, and whose
     prefixes share at least the lesser of their needs. ``root`` is the least node of all that
     links reach, over any steps; links within what is joined already are not looked for.
+    With a ``radius``, ``sets`` has a ``print`` too, and linked are only nodes whose fingerprints
+    differ in at most so many bits.
 
     The nodes of each bucket are first compared with its least one, the pivot, so that a group
     of near copies costs one comparison for each. The nodes of buckets that then hold several
@@ -172,8 +218,12 @@ def linked(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 prefixes = needs = None
                 if some["prefix"].null_count == 0:
                     prefixes, needs = _from_bytes(some["prefix"]), some["needs"].to_numpy()
+                prints = some["print"].to_numpy().view(np.uint64) if radius is not None else None
                 across = block[begin:end] if low[begin] != high[begin] else None
-                for a, b in block_links(sets, root[begin:end], percent, across, prefixes, needs):
+                own = root[begin:end]
+                for a, b in block_links(
+                    sets, own, percent, across, prefixes, needs, prints, radius
+                ):
                     left.append(begin + a)
                     right.append(begin + b)
             # Roots are joined, for each node is joined with its own.
@@ -188,7 +238,7 @@ def linked(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     filled = stored(filled.where("n > 1 AND any_own").select("key", "n", "pivot"), "buckets")
     members = stored(buckets.select("key", "node").join(filled, "key"), "bucket-members")
     pairs = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    pairs = stored(pairs.distinct(), "pivot-pairs")
+    pairs = stored(_within(pairs.distinct(), sets, percent, radius), "pivot-pairs")
     hashes = sets.select("node", "hashes")
     both = pairs.join(hashes.toDF("a", "left"), "a").join(hashes.toDF("b", "right"), "b")
     roots = components(both.mapInArrow(checked, "a long, b long"))

@@ -26,8 +26,8 @@ from tallymark.llm.quality_rules import repeat_words
 from tallymark.llm.r_tree import RTree
 from tallymark.llm.records import frame, unframe
 from tallymark.llm.secrets import RULES, scan
-from tallymark.llm.similar_sets import Overlaps, block_links, similar
-from tallymark.llm.simhash import fingerprint, near_links, shard_masks
+from tallymark.llm.similar_sets import Overlaps, block_links, near_prints, similar
+from tallymark.llm.simhash import fingerprint, near_links, set_fingerprint, shard_masks
 from tallymark.llm import substring_dedup
 from tallymark.llm.substring_dedup import COVERS, WindowHashes, anchor_places, cover_of, word_hashes
 from tallymark.llm import text_hashes
@@ -68,6 +68,40 @@ def test_tree_joins_what_is_near(size, radius):
         assert mine == roots
 
 
+@pytest.mark.parametrize("size", [1, 2, 30, 400])
+@pytest.mark.parametrize("radius", [0, 4, 20, 28, 64])
+def test_tree_finds_every_pair(size, radius):
+    prints = np.array(clustered(size, size), dtype=np.uint64)
+    left, right = links(build(np.zeros(size, int), prints), np.arange(size), radius, every=True)
+    near = np.bitwise_count(prints[:, None] ^ prints) <= radius
+    np.fill_diagonal(near, False)
+    assert sorted(zip(left.tolist(), right.tolist())) == list(zip(*(k.tolist() for k in np.nonzero(near))))
+
+
+@pytest.mark.parametrize("at_once", [1, 700, 2_000_000])
+def test_near_prints_with_repeats(monkeypatch, at_once):
+    monkeypatch.setattr("tallymark.llm.similar_sets._PAIRS_AT_ONCE", at_once)
+    prints = np.random.default_rng(3).permutation(np.array(clustered(60, 5) * 2, dtype=np.uint64))
+    got = np.array(list(near_prints(prints, 6)))
+    assert np.array_equal(got, np.bitwise_count(prints[:, None] ^ prints) <= 6)
+
+
+def test_block_links_are_within_the_radius():
+    sets = [np.arange(k % 3, 40, dtype=np.uint64) for k in range(9)]
+    prints = np.array([0, 0, 0, 1, 1, 1, 2**40 - 1, 2**40 - 1, 2**41 - 1], dtype=np.uint64)
+    pairs = block_links(sets, np.arange(9), 80, prints=prints, radius=1)
+    label = least_labels(9, *np.array(pairs).T)
+    assert label.tolist() == [0] * 6 + [6] * 3
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 500, 70_000])
+def test_fingerprint_of_a_set(size):
+    hashes = np.random.default_rng(size).integers(0, 1 << 63, size, dtype=np.uint64) * 2 + 1
+    counts = [int((hashes >> np.uint64(bit) & np.uint64(1)).sum()) for bit in range(64)]
+    ones = sum(1 << bit for bit, count in enumerate(counts) if 2 * count > size)
+    assert set_fingerprint(hashes) == ones
+
+
 def test_dense_ball_costs_few_pairs():
     rng = random.Random(1)
     prints = np.array(sorted({rng.getrandbits(3) << rng.randrange(62) for _ in range(900)}), np.uint64)
