@@ -1,8 +1,9 @@
 """Links sets of hashes by their Jaccard similarity, given the buckets in which similar sets meet."""
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallymark.llm.bk_tree import build, heads, links
 from tallymark.llm.common import encoded, in_parts, runs_of, sorted_groups, stored
@@ -121,6 +122,25 @@ def _filter_words(wanted: DataFrame) -> np.ndarray:
     return out
 
 
+def _marked(contents: np.ndarray, words: np.ndarray) -> np.ndarray:
+    bit = np.mod(contents, 32 * len(words))
+    return (words[bit // 32] >> (bit % 32).astype(np.uint32)) & 1 > 0
+
+
+def maybe_in(wanted: DataFrame, content: str = "content") -> Column:
+    """Return whether a content may be one of the wanted: true for all that are, and some others.
+
+    The filter of ``FILTER_BITS`` bits goes to all tasks; only the column goes to Python.
+    """
+    words = wanted.sparkSession.sparkContext.broadcast(_filter_words(wanted))
+
+    @F.pandas_udf("boolean")
+    def marked(contents: pd.Series) -> pd.Series:
+        return pd.Series(_marked(contents.to_numpy(), words.value))
+
+    return marked(content)
+
+
 def chosen_sets(texts: DataFrame, wanted: DataFrame, hashed, printed=None) -> DataFrame:
     """Return ``node``, ``size`` and ``hashes``, what ``hashed`` gives for each wanted text.
 
@@ -135,9 +155,7 @@ def chosen_sets(texts: DataFrame, wanted: DataFrame, hashed, printed=None) -> Da
 
     def emitted(batches):
         for batch in in_parts(batches):
-            bit = np.mod(batch.column("content").to_numpy(), 32 * len(words.value))
-            some = (words.value[bit // 32] >> (bit % 32).astype(np.uint32)) & 1 > 0
-            kept = batch.filter(pa.array(some))
+            kept = batch.filter(pa.array(_marked(batch.column("content").to_numpy(), words.value)))
             sets = [hashed(text) for text in encoded(kept, "text")]
             prints = pa.nulls(len(sets), pa.int64())
             if printed is not None:
