@@ -13,6 +13,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tallymark.functions import quoted
 
 _FALLBACK = []
+# What an Arrow batch holds at most where workers are to stay small: rows, and bytes.
+BATCH_ROWS = 1024
+BATCH_BYTES = 8 << 20
+# Lets a worker give freed memory back to the system; else what its largest batch took stays.
+_GIVE_BACK = {
+    "MALLOC_TRIM_THRESHOLD_": str(4 << 20),
+    "MALLOC_MMAP_THRESHOLD_": str(4 << 20),
+    "MALLOC_ARENA_MAX": "2",
+    "ARROW_DEFAULT_MEMORY_POOL": "system",
+}
 
 
 def on_workers(spark: SparkSession) -> None:
@@ -24,6 +34,24 @@ def on_workers(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = ":".join([root, *paths])
 
 
+def on_small_workers(spark: SparkSession) -> None:
+    """As ``on_workers``, for long texts: small Arrow batches, and freed memory is given back.
+
+    By default a batch holds 10,000 rows, often a whole partition of texts, both in the executor
+    and in the worker. Lower settings of the session, and any of the environment, stay.
+    """
+    on_workers(spark)
+    environment = spark.sparkContext.environment
+    for name, value in _GIVE_BACK.items():
+        environment.setdefault(name, value)
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        # A size with a larger unit than bytes is the session's own choice.
+        now = spark.conf.get(name).lower().removesuffix("b")
+        if now.lstrip("-").isdigit() and not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Return the folder that all executors share, ``spark.checkpoint.dir``.
 

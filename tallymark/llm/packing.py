@@ -76,6 +76,7 @@ def pack(
     end_id: int,
     size: int = SEQUENCE_TOKENS,
     open_bins: int = OPEN_BINS,
+    cached_pieces: int | None = None,
 ) -> DataFrame:
     """Return one row per piece of a document with its sequence and its place there.
 
@@ -85,7 +86,8 @@ def pack(
     remainder, the others are full. Within a batch of rows the longest pieces go first.
 
     A null or empty text is a document of the end id alone. Null and repeated ids are packed
-    like any others, row by row. An empty table gives no rows.
+    like any others, row by row. An empty table gives no rows. Fewer ``cached_pieces`` of text
+    whose ids a worker remembers take less memory and more time; the ids are the same.
     """
     if size < 1 or open_bins < 1:
         raise ValueError("size and open_bins must be positive")
@@ -94,7 +96,7 @@ def pack(
     def packed(batches):
         bins = OpenBins(size, open_bins)
         base = TaskContext.get().partitionId() << 40
-        encode = encoder(tokenizer_path).encode
+        encode = encoder(tokenizer_path, cached_pieces).encode
         for batch in batches:
             for first in range(0, batch.num_rows, _TEXTS_AT_ONCE):
                 yield placed(batch.slice(first, _TEXTS_AT_ONCE), bins, base, encode)

@@ -44,8 +44,9 @@ class PieceEncoder(dict):
     blanks left out. Texts are encoded whole with any other file.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int | None = None):
         super().__init__()
+        self.most = most
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = self.tokenizer.model
         parts = json.loads(self.tokenizer.to_str())
@@ -70,7 +71,7 @@ class PieceEncoder(dict):
         else:
             ids = self._whole([piece])[0]
         if len(piece) <= _LONGEST_CACHED:
-            if len(self) >= _CACHED_PIECES:
+            if len(self) >= (self.most or _CACHED_PIECES):
                 self.clear()
             self[piece] = ids
         return ids
@@ -104,6 +105,9 @@ class PieceEncoder(dict):
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> PieceEncoder:
-    """Return the encoder of a tokenizer file, one for each Python worker."""
-    return PieceEncoder(path)
+def encoder(path: str, most: int | None = None) -> PieceEncoder:
+    """Return the encoder of a tokenizer file, one for each Python worker.
+
+    It remembers up to ``most`` pieces, by default ``_CACHED_PIECES``.
+    """
+    return PieceEncoder(path, most)
