@@ -126,18 +126,20 @@ def runs_of(lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(ends - lengths, lengths)
 
 
-def sorted_groups(batches, names: tuple[str, ...], most: int):
+def sorted_groups(batches, names: tuple[str, ...], most: int, most_bytes: int | None = None):
     """Yield tables of whole groups of equal ``names`` from batches sorted by these columns.
 
-    A table holds about ``most`` rows, or one group if that is larger.
+    A table holds about ``most`` rows, or about ``most_bytes`` bytes if these are fewer rows, or
+    one group if that is larger.
     """
-    held, rows = [], 0
+    held, rows, size = [], 0, 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         rows += batch.num_rows
-        if rows < most:
+        size += batch.nbytes
+        if rows < most and (most_bytes is None or size < most_bytes):
             continue
         table = pa.Table.from_batches(held).combine_chunks()
         last = table.num_rows - 1
@@ -149,7 +151,7 @@ def sorted_groups(batches, names: tuple[str, ...], most: int):
         if cut:
             yield table.slice(0, cut)
             rest = table.slice(cut)
-            held, rows = rest.to_batches(), rest.num_rows
+            held, rows, size = rest.to_batches(), rest.num_rows, rest.nbytes
     if rows:
         yield pa.Table.from_batches(held).combine_chunks()
 

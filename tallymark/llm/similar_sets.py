@@ -1,7 +1,6 @@
 """Links sets of hashes by their Jaccard similarity, given the buckets in which similar sets meet."""
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -13,9 +12,11 @@ from tallymark.llm.components import components
 BLOCK_BYTES = 8_000_000
 # What all tasks get to pass over texts that are not wanted: so many bits, whatever the input.
 FILTER_BITS = 1 << 24
-_HASHES_AT_ONCE = 2_000_000
+# What a task holds besides a group: rows and bytes of smaller groups, hashes and pairs of prints.
 _ROWS_AT_ONCE = 2_000
-_PAIRS_AT_ONCE = 2_000_000
+_BYTES_AT_ONCE = 8_000_000
+_HASHES_AT_ONCE = 250_000
+_PAIRS_AT_ONCE = 250_000
 
 
 def similar(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
@@ -30,13 +31,21 @@ class Overlaps:
     """Counts what sets have in common; hashes of one set only are left out first."""
 
     def __init__(self, sets: list[np.ndarray]):
-        flat = np.concatenate([np.empty(0, np.uint64), *sets])
-        _, codes, counts = np.unique(flat, return_inverse=True, return_counts=True)
-        shared = counts[codes] > 1
-        ends = np.append(0, np.cumsum(shared))[np.cumsum([0, *map(len, sets)])]
-        self.begin, self.size = ends[:-1], np.diff(ends)
-        self.codes = codes[shared]
-        self.marked = np.zeros(len(counts), dtype=bool)
+        every = np.concatenate([np.empty(0, np.uint64), *sets])
+        every.sort()
+        again = every[1:][every[1:] == every[:-1]]
+        shared = again[heads(again)]
+        del every, again
+        # Set by set, for the places of all hashes at once take several times the hashes.
+        codes = [np.empty(0, np.int32)]
+        for one in sets:
+            place = np.searchsorted(shared, one)
+            found = np.searchsorted(shared, one, side="right") > place
+            codes.append(place[found].astype(np.int32))
+        self.size = np.array([len(one) for one in codes[1:]], dtype=np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.codes = np.concatenate(codes)
+        self.marked = np.zeros(len(shared), dtype=bool)
 
     def of(self, at: int, others: np.ndarray) -> np.ndarray:
         """Return how many hashes the set ``at`` shares with each of the others."""
@@ -134,9 +143,10 @@ def maybe_in(wanted: DataFrame, content: str = "content") -> Column:
     """
     words = wanted.sparkSession.sparkContext.broadcast(_filter_words(wanted))
 
-    @F.pandas_udf("boolean")
-    def marked(contents: pd.Series) -> pd.Series:
-        return pd.Series(_marked(contents.to_numpy(), words.value))
+    # Not a pandas UDF: a worker that never imports pandas takes 26 MB less.
+    @F.arrow_udf("boolean")
+    def marked(contents: pa.Array) -> pa.Array:
+        return pa.array(_marked(contents.to_numpy(zero_copy_only=False), words.value))
 
     return marked(content)
 
@@ -224,9 +234,10 @@ def linked(
             yield batch.select(["a", "b"]).filter(near)
 
     def compared(batches):
-        for table in sorted_groups(batches, ("pivot", "low", "high"), _ROWS_AT_ONCE):
+        names = ("pivot", "low", "high")
+        for table in sorted_groups(batches, names, _ROWS_AT_ONCE, _BYTES_AT_ONCE):
             pivot, low, high, block, root = (
-                table[name].to_numpy() for name in ("pivot", "low", "high", "block", "root")
+                table[name].to_numpy() for name in (*names, "block", "root")
             )
             begins = np.flatnonzero(heads(pivot) | heads(low) | heads(high)).tolist()
             left, right = [], []

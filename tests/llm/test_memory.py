@@ -1,6 +1,10 @@
 """What bounds the memory of the pipeline's Python workers."""
 
 import random
+import subprocess
+import sys
+import tracemalloc
+from pathlib import Path
 from zlib import crc32
 
 import corpus_pipeline
@@ -9,7 +13,9 @@ import pyarrow as pa
 import pytest
 from brute import token_ids
 
-from tallymark.llm.common import BATCH_ROWS, on_small_workers
+from tallymark.llm.common import BATCH_ROWS, on_small_workers, sorted_groups
+from tallymark.llm.similar_sets import Overlaps, block_links, maybe_in
+from tallymark.llm.simhash import set_fingerprint
 from tallymark.llm.tokenizer_files import tokenizer_path
 from tallymark.llm.tokens import PieceEncoder
 
@@ -92,3 +98,83 @@ def test_packing_in_the_pipeline_remembers_fewer_pieces(spark, monkeypatch):
     assert {row.doc_id: (row.length, row.ids_crc32) for row in got} == {
         at: (len(ids), crc32(np.array(ids, "<u4").tobytes())) for at, ids in zip(texts, want, strict=True)
     }
+
+
+def family(size, shared, own):
+    """Return sets of hashes that are near each other, none of them equal."""
+    rng = np.random.default_rng(size)
+    common = rng.integers(0, 1 << 63, shared, dtype=np.uint64)
+    alone = rng.integers(0, 1 << 63, (size, own), dtype=np.uint64)
+    return [np.unique(np.concatenate([common, one])) for one in alone]
+
+
+def peak_mb(work):
+    """Return what ``work`` returns, and the most that was allocated meanwhile."""
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_group_of_near_copies_is_compared_in_little_memory():
+    """What is held besides the sets does not grow with the pairs of the group."""
+    sets = family(1500, 140, 10)
+    prints = np.array([set_fingerprint(one) for one in sets], dtype=np.uint64)
+    pairs, peak = peak_mb(
+        lambda: block_links(sets, np.arange(len(sets)), 80, prints=prints, radius=28)
+    )
+    assert len(pairs) == len(sets) - 1
+    assert peak < 40
+
+
+def test_what_sets_share_is_counted_in_memory_of_the_sets():
+    sets = family(400, 1500, 1500)
+    overlaps, peak = peak_mb(lambda: Overlaps(sets))
+    assert peak < 3 * sum(one.nbytes for one in sets) / 1e6
+    shared, peak = peak_mb(lambda: overlaps.of(7, np.arange(len(sets))))
+    assert shared.tolist() == [1500] * len(sets)
+    assert peak < 12
+
+
+@pytest.mark.parametrize("sets", [[], [[]], [[5]], [[5], [6]], [[], [5, 6], [6, 7], [6], [2, 5]]])
+def test_what_small_sets_share(sets):
+    given = [np.array(one, dtype=np.uint64) for one in sets]
+    overlaps = Overlaps(given)
+    for at, one in enumerate(sets):
+        rest = {h for other, some in enumerate(sets) if other != at for h in some}
+        want = [len({*one} & {*some} & rest) for some in sets]
+        assert overlaps.of(at, np.arange(len(sets))).tolist() == want
+
+
+def test_groups_of_long_rows_come_in_tables_of_few_bytes():
+    """Rows of 100 kB: without a bound in bytes a table holds as many rows as short ones."""
+    def batches():
+        for at in range(0, 90, 3):
+            keys = pa.array([at // 4, (at + 1) // 4, (at + 2) // 4])
+            rows = pa.array([bytes(100_000)] * 3, pa.binary())
+            yield pa.RecordBatch.from_arrays([keys, rows], names=["key", "value"])
+
+    tables = [*sorted_groups(batches(), ("key",), 2000, 1_000_000)]
+    assert max(table.nbytes for table in tables) < 2_000_000
+    groups = [key for table in tables for key in dict.fromkeys(table["key"].to_pylist())]
+    assert groups == [*range(23)]
+    assert sum(table.num_rows for table in tables) == 90
+    assert len([*sorted_groups(batches(), ("key",), 2000)]) == 1
+
+
+def test_workers_need_no_pandas():
+    root = str(Path(corpus_pipeline.__file__).parent)
+    code = "import corpus_pipeline, sys; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, timeout=60).returncode == 0
+
+
+def test_the_filter_of_contents_keeps_all_that_are_wanted(spark, plain_environment):
+    on_small_workers(spark)
+    wanted = spark.createDataFrame([(-(2**63),), (-5,), (0,), (7,), (2**63 - 1,)], "content long")
+    every = spark.range(-50, 50).toDF("content").union(wanted).distinct()
+    kept = {row.content for row in every.where(maybe_in(wanted)).collect()}
+    assert {row.content for row in wanted.collect()} <= kept
+    assert len(kept) < 10
+    none = every.where(maybe_in(wanted.where("false")))
+    assert none.count() == 0
